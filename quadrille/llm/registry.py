@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontamination, near_dedup
+from quadrille.llm import bpe, decontamination, language_id, media, near_dedup, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (decontamination.op2_decontamination, near_dedup.op5_near_dedup)}
+    every = (
+        decontamination.op2_decontamination,
+        bpe.op3_bpe,
+        substring_dedup.op4_substring_dedup,
+        near_dedup.op5_near_dedup,
+        language_id.op7_language_id,
+        media.op8_ogg_media,
+        quality.op10_quality,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE}
+    return {"op2_decontamination": decontamination.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_near_dedup": near_dedup.ORACLE}
