@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import bpe, decontamination, language_id, media, near_dedup, quality, substring_dedup
+from quadrille.llm import bpe, decontamination, language_id, license_scan, media, near_dedup, pii, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +15,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bpe.op3_bpe,
         substring_dedup.op4_substring_dedup,
         near_dedup.op5_near_dedup,
+        pii.op6_pii,
         language_id.op7_language_id,
         media.op8_ogg_media,
+        license_scan.op9_license_scan,
         quality.op10_quality,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_near_dedup": near_dedup.ORACLE}
+    return {
+        "op2_decontamination": decontamination.ORACLE,
+        "op4_substring_dedup": substring_dedup.ORACLE,
+        "op5_near_dedup": near_dedup.ORACLE,
+        "op9_license_scan": license_scan.oracle(),
+    }
