@@ -1,12 +1,57 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, PII and BPE, each over what the one before kept."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, PII and BPE, each over what the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents.  Rows of one doc_id are one document to the near-dedup stage and stay or go together.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille.llm import bpe, decontamination, language_id, near_dedup, pii
+from quadrille.llm.common import table
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    return language_id.keep(docs, language_id.learn(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
+    return near_dedup.keep(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; those that are mostly benchmark go."""
+    return _counted(decontamination.remove(docs, table(spark, sf_dir, "benchmark")))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return _counted(pii.redact(docs))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    return bpe.encode(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii", redact_personal_data),
+    ("bpe", tokenize),
+]
 
 #: SQL can express neither compression nor trained models; tests compare the stages with brute force.
 ORACLE_SQL = None

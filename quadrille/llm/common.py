@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +53,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes what :func:`cut` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if where.getName().startswith("quadrille-"):
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 is held out of every training."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
@@ -77,6 +69,43 @@ def slot_sample(df: DataFrame, label: str, key: str, slots: int) -> DataFrame:
 
 def offsets_of(lengths) -> pa.Array:
     """List offsets for :class:`pa.ListArray` from list lengths."""
-    import numpy as np
-
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
+#: Bits of the largest bitmap that is broadcast: 64 MB.
+MOST_BITS = 1 << 29
+
+
+def bitmap(values: DataFrame, count: int) -> np.ndarray:
+    """A bitmap of the low bits of a bigint column, for screening rows before a join decides.
+
+    It has 16 bits a value and MOST_BITS at most; a fuller one lets more rows pass and loses none.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (16 * count).bit_length()))
+    at = F.pmod(F.col(values.columns[0]), F.lit(bits)) + 1  # Spark's buckets count from 1
+    rows = values.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator()
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows:
+        out[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def in_bitmap(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = values.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def screened(docs: DataFrame, ids: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text, ...) by a bitmap of ids: those that may be among them, and those that aren't."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select("doc_id"), count))
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield batch.filter(pa.array(in_bitmap(ids, held.value) == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    ship(docs.sparkSession)
+    return part(True), part(False)

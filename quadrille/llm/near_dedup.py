@@ -3,10 +3,10 @@
 Documents with equal shingle sets form classes first, by partial aggregates.  One representative of
 each class gets a SuperMinHash signature (ranks of one permutation per shingle, stopped once no later
 rank can lower a minimum), whose bands make buckets.  A bucket's members are compared with a leader
-rather than with each other; what isn't linked to it is compared with further leaders, and in the end
-with every member of another component, so no pair above the threshold that shares a bucket is lost
-while no group is expanded into all its pairs.  Links are confirmed on full shingle sets, and
-components grow by distributed minimum labels with pointer jumping.
+rather than with each other.  Two members of which one isn't linked to the leader are compared only if
+what they add to and lack from the leader allows a link (see ``beside_leaders``), so no pair above the
+threshold that shares a bucket is lost while no group is expanded into all its pairs.  Links are
+confirmed on full shingle sets, and components grow by distributed minimum labels with pointer jumping.
 
 With 32 bands of 4 of 128 values a pair at a similarity of 0.8 shares no bucket with a probability
 of (1 - 0.8**4)**32 = 5e-8.
@@ -22,11 +22,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import textops as X
-from quadrille.llm.common import cut, map_rows, offsets_of, table
+from quadrille.llm.common import cut, map_rows, offsets_of, screened, table
+from quadrille.ship import ship
 
 SIZE, ROWS = 128, 4
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -103,25 +104,69 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "text", run, "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union of their full sets."""
-    one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text"))
-    both = pairs.join(two, "b").join(one, "a").select("a", "b", "a_text", "text")
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, shingles) of the wanted ids."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, cache = batch.column("a").to_numpy(zero_copy_only=False), {}
-        uniq, where = np.unique(left, return_index=True)
-        sets = shingle_sets(batch.column("a_text").take(pa.array(where)), shingle)
-        cache = dict(zip(uniq.tolist(), sets, strict=True))
-        linked = []
-        for a, y in zip(left.tolist(), shingle_sets(batch.column("text"), shingle), strict=True):
-            x = cache[a]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    return map_rows(both, "text", run, "a bigint, b bigint, linked boolean")
+        sets = shingle_sets(batch.column("text"), shingle)
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        return pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(offsets_of([len(s) for s in sets]), pa.array(flat))], names=["doc_id", "shingles"])
+
+    some, _ = screened(docs.select("doc_id", "text"), wanted, wanted.count())
+    return map_rows(some.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "text", run, "doc_id bigint, shingles array<bigint>")
+
+
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, wide): n, the size of a's set; more and less, what b's adds and lacks; linked; and, of wide pairs, the added shingles."""
+    both = pairs.join(sets.selectExpr("doc_id AS b", "shingles AS y"), "b").join(sets.selectExpr("doc_id AS a", "shingles AS x"), "a").select("a", "b", "wide", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            more, less, linked, size, added = [], [], [], [], []
+            for x, y, wide in zip(batch.column("x"), batch.column("y"), batch.column("wide").to_pylist(), strict=True):
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                found = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                common = int(found.sum())
+                size.append(len(x)), more.append(len(y) - common), less.append(len(x) - common)
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                added.append(y[~found].view(np.int64) if wide else np.zeros(0, np.int64))
+            flat = np.concatenate(added) if added else np.zeros(0, np.int64)
+            yield pa.record_batch(
+                [batch.column("a"), batch.column("b"), pa.array(size, pa.int64()), pa.array(more, pa.int64()), pa.array(less, pa.int64()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(offsets_of([len(x) for x in added]), pa.array(flat))],
+                names=["a", "b", "n", "more", "less", "linked", "added"],
+            )
+
+    ship(pairs.sparkSession)
+    return both.mapInArrow(run, "a bigint, b bigint, n bigint, more bigint, less bigint, linked boolean, added array<bigint>")
+
+
+def beside_leaders(member: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket that may be linked although one of the two isn't linked to the bucket's leader.
+
+    With leader L, A_x = x minus L and R_x = L minus x, two sets are linked if |A_x ^ A_y| + |R_x ^ R_y| is at
+    most (100 - percent) / (100 + percent) * (|x| + |y|).  So either they share an added shingle, of which they
+    then share so many that it is among the |x| / 4 + 1 rarest of A_x (at 80 percent); or one lacks more than it
+    adds, by as much as the other is beyond the limit from the leader.  Both are necessary, so nothing is lost.
+    """
+    up, down = 100 + percent, 100 - percent
+    # y of at most |x| * 100 / percent shingles: |x| + |y| <= |x| * (100 + percent) / percent, times down / up.
+    own = seen.withColumn("prefix", F.expr(f"cast(floor((n + more - less) * {down} / {percent}) as bigint) + 1"))
+    parts = own.where("size(added) > 0").select("a", "b", "linked", "prefix", F.explode("added").alias("e"))
+    often = parts.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")
+    order = Window.partitionBy("a", "b").orderBy(F.col("f").asc_nulls_first(), "e")
+    first = parts.join(often, ["a", "e"], "left").withColumn("rank", F.row_number().over(order)).where("rank <= prefix and f is not null")
+    first = cut(first.select("a", "e", "b", "linked"))
+    one = first.where("not linked").selectExpr("a", "e", "b AS x")
+    shared = one.join(first.selectExpr("a", "e", "b AS y", "linked"), ["a", "e"]).where("x <> y and (linked or x < y)").select("x", "y")
+    # beyond: how far x is past the limit from the leader; lost: how much more x lacks than it adds; both times (up - down) / ...
+    scaled = seen.select("a", "b", F.expr(f"{up - down} * more + {up + down} * less - {2 * down} * n").alias("beyond"), F.expr(f"{up - down} * (less - more)").alias("lost"))
+    at = member.where("a <> b and many").join(scaled, ["a", "b"]).select("key", "b", "beyond", "lost")
+    reach = at.groupBy("key").agg(F.max("lost").alias("most"), F.min(F.when(F.col("beyond") > 0, F.col("beyond"))).alias("least")).where("most >= least")
+    at = cut(at.join(reach, "key").where("(beyond > 0 and beyond <= most) or lost >= least"))
+    far = at.where("beyond > 0").selectExpr("key", "b AS x", "beyond", "lost")
+    near = at.selectExpr("key", "b AS y", "beyond AS y_beyond", "lost AS y_lost")
+    lacking = far.join(near, "key").where("x <> y and beyond <= y_lost and y_beyond <= lost").select("x", "y")
+    return shared.union(lacking).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -149,42 +194,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leaders: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: n_shingles, component_id (the smallest doc_id reachable by links) and whether it is kept."""
     sig = cut(signatures(docs, shingle))
     some = sig.where("n_shingles > 0")
     classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes, [some.set_hash == classes.set_hash, some.doc_id == classes.rep], "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    member = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b"))
-    shared = member.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a < z").select("key", "a")
-    member = cut(member.join(shared, "key"))  # only keys of two members or more
-    asked = cut(member.where("a < b").select("a", "b").distinct())
-    links = cut(confirm(asked, docs, shingle, percent)).where("linked").select("a", "b")
+    reps = some.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"])
+    member = cut(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b")))
+    sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    member = cut(member.join(sizes, "key"))
+    # The leader is the member with most company over all buckets: the text that copies were made from, where there is one.
+    company = member.groupBy("b").agg(F.sum("c").alias("company"))
+    leaders = member.join(company, "b").groupBy("key").agg(F.max(F.struct("company", F.expr("-b AS minus"))).alias("m")).select("key", F.expr("-m.minus AS a"))
+    member = cut(member.join(leaders, "key").select("key", "a", "b", F.expr("c > 2 AS many")))
+    pairs = member.where("a <> b").groupBy("a", "b").agg(F.max("many").alias("wide"))
+    sets = cut(sets_of(docs, company.select(F.col("b").alias("doc_id")), shingle))
+    seen = cut(compare(pairs, sets, percent))
+    known = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = beside_leaders(member, seen, percent).join(known, ["a", "b"], "left_anti").withColumn("wide", F.lit(False))
+    links = seen.union(cut(compare(more, sets, percent))).where("linked").select("a", "b")
     label = components(links)
-    for turn in range(leaders + 1):
-        # A bucket's members, with the component they are in by now.
-        now = member.select("key", "b").join(label.selectExpr("id AS b", "component AS c"), "b", "left").select("key", "b", F.coalesce("c", "b").alias("c"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        now = cut(now.join(mixed, "key"))
-        if turn < leaders:  # members beside the first component meet a changing member of it, and each other's first
-            stray = now.where("c <> c0")
-            inside = now.where("c = c0").groupBy("key").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("x"))
-            lead = stray.groupBy("key").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("y"))
-            pairs = stray.join(inside, "key").select(F.col("b").alias("p"), F.col("x").alias("q")).union(stray.join(lead, "key").where("b <> y").select(F.col("b").alias("p"), F.col("y").alias("q")))
-        else:
-            other = now.selectExpr("key", "b AS q", "c AS d")
-            pairs = now.where("c <> c0").selectExpr("key", "b AS p", "c").join(other, "key").where("c <> d").select("p", "q")
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            if turn < leaders:
-                continue
-            break
-        asked = asked.union(pairs)
-        more = cut(confirm(pairs, docs, shingle, percent).where("linked").select("a", "b"))
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links)
     whole = classes.join(label.selectExpr("id AS rep", "component"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     return (
         sig.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left")
@@ -193,6 +222,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, leader
     )
 
 
+def keep(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that are kept, as they are; only those whose ids may be among the dropped are shuffled."""
+    gone = cut(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
+    some, rest = screened(docs, gone, gone.count())
+    return some.join(gone, "doc_id", "left_anti").select(*docs.columns).union(rest)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
 

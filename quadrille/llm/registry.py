@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import bpe, decontamination, language_id, license_scan, media, near_dedup, pii, quality, substring_dedup
+from quadrille.llm import bpe, decontamination, html_extraction, language_id, license_scan, media, near_dedup, pii, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
+        html_extraction.op1_html_extraction,
         decontamination.op2_decontamination,
         bpe.op3_bpe,
         substring_dedup.op4_substring_dedup,

@@ -8,7 +8,8 @@ spans of at least ``window`` words go.  It serves a reference of its own, whose
 broadcast, and passing every document by every shard grows with the square of the corpus.  Windows meet
 by their hashes instead: minimisers (a window's smallest hash of 25 consecutive words, the same wherever
 the window stands) find the windows that may occur in two documents; the hashes of these windows give
-the smallest doc_id of each by partial aggregates; no window is compared with another.
+the smallest doc_id of each by partial aggregates; no window is compared with another.  Shared minimisers
+are looked up in a bitmap of bounded size; where there are too many for it, a join does the same.
 
 Defined results: a null or blank text has no words and keeps the empty string; texts shorter than a
 window keep everything; repeated rows of one doc_id never remove each other; an empty table gives no
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import textops as X
 from quadrille.llm.automaton import SuffixAutomaton
-from quadrille.llm.common import cut, drop_cut, map_rows, offsets_of, table
+from quadrille.llm.common import MOST_BITS, bitmap, cut, in_bitmap, map_rows, screened, table
 
 #: Words of a window.
 WINDOW = 50
@@ -91,7 +92,7 @@ def _lists(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_set(value).alias("wanted"))
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS // 8) -> DataFrame:
     """(doc_id, wanted): hashes of the document's windows that also start in a document with a smaller doc_id."""
     docs = docs.select("doc_id", "text")
 
@@ -105,14 +106,15 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _, _, _, word_offs, total = _read(batch.column("text"))
         first, low, run_offs = _minimisers(total, word_offs, window)
         number = np.repeat(np.arange(batch.num_rows), np.diff(run_offs))
-        some = np.flatnonzero(_grouped_isin(low, number, batch.column("wanted")))
+        some = np.flatnonzero(in_bitmap(low, held.value) if held else _grouped_isin(low, number, batch.column("wanted")))
         return _listed(batch.column("doc_id"), *_distinct(X.run_hashes(total, first[some], first[some] + window), number[some]), "hash")
 
-    marked = cut(map_rows(docs, "text", marks, "doc_id bigint, mark bigint"))
-    shared = marked.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark")
-    asked = docs.join(_lists(marked.join(shared, "mark"), "mark"), "doc_id")
+    marked = map_rows(docs, "text", marks, "doc_id bigint, mark bigint")
+    shared = cut(marked.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark"))
+    count = shared.count()
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(shared, count)) if count <= most_marks else None
+    asked = docs if held else docs.join(_lists(marked.join(shared, "mark"), "mark"), "doc_id")
     found = cut(map_rows(asked, "text", windows, "doc_id bigint, hash bigint"))
-    drop_cut(marked)
     first = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
     return _lists(found.join(first, "hash").where("low < doc_id"), "hash")
 
@@ -149,6 +151,13 @@ def kept_texts(mask: np.ndarray, places) -> list[bytes]:
     return [b" ".join(raw[begin[a] : ends[b - 1]].split()) if b > a else b"" for a, b in zip(word_offs[:-1], word_offs[1:], strict=True)]
 
 
+def _with_wanted(docs: DataFrame, window: int) -> DataFrame:
+    """``docs`` and each one's list of repeated windows; only those that may have one are shuffled."""
+    wanted = cut(repeated(docs, window))
+    some, rest = screened(docs, wanted, wanted.count())
+    return some.join(wanted, "doc_id", "left").select(*docs.columns, "wanted").union(rest.withColumn("wanted", F.lit(None).cast("array<bigint>")))
+
+
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, removed words, and the SHA-256 of what stays."""
 
@@ -161,20 +170,18 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    docs = docs.select("doc_id", "text")
-    return map_rows(docs.join(repeated(docs, window), "doc_id", "left"), "text", run, REPORT)
+    return map_rows(_with_wanted(docs.select("doc_id", "text"), window), "text", run, REPORT)
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with the kept words of each text, joined by one space."""
-    wanted = repeated(docs, window)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         mask, places = removed_words(batch.column("text"), batch.column("wanted"), window)
         texts = pa.array([x.decode() for x in kept_texts(mask, places)], batch.schema.field("text").type)
         return batch.set_column(batch.schema.get_field_index("text"), "text", texts).drop_columns(["wanted"])
 
-    return map_rows(docs.join(wanted, "doc_id", "left"), "text", run, docs.schema)
+    return map_rows(_with_wanted(docs, window), "text", run, docs.schema)
 
 
 def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, most_bytes: int = 64 << 20) -> DataFrame:
