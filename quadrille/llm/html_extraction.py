@@ -29,7 +29,6 @@ REPORT = "page_id bigint, url string, text string, n_chars bigint"
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"))
 _SILENT = frozenset(("head", "template", "svg", "math", "select", "button", "canvas", "object", "audio", "video", "datalist"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -82,7 +81,7 @@ class _Reader:
 
     def flush(self) -> None:
         if self.parts:
-            text = _SPACE.sub(" ", "".join(self.parts)).strip()
+            text = " ".join("".join(self.parts).split())
             if text:
                 self.blocks.append(Block(text, tuple((o.tag, o.themes) for o in self.stack), min(self.linked, len(text))))
             self.parts, self.linked = [], 0
