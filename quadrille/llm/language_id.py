@@ -7,8 +7,9 @@ The sample: of each language at most SLOTS documents outside the held-out fold,
 at most SAMPLE_BYTES, together at most DICTIONARY_BYTES.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; null
-languages teach nothing; with no language to learn every text is ``und``; ties go to the first language
-in alphabetical order; repeated rows repeat; other columns are ignored or, in ``keep``, kept.
+languages teach nothing; with no language to learn every text is ``und``; ties go to the language of most
+documents outside the held-out fold, then to the first in alphabetical order; repeated rows repeat; other
+columns are ignored or, in ``keep``, kept.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def letters(text: str) -> bytes:
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """language -> dictionary, from documents outside the held-out fold."""
+    """language -> dictionary, from documents outside the held-out fold; the most frequent language first."""
     taught = docs.where(fold(F.col("doc_id")) != 0).where("lang is not null and text is not null").select("doc_id", "lang")
     chosen = [r.doc_id for r in slot_sample(taught, "lang", "doc_id", SLOTS).collect()]
     rows = docs.where(F.col("doc_id").isin(chosen)).where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect() if chosen else []
@@ -50,7 +51,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     for row in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.text)):
         if len(have := out.get(row.lang, b"")) < DICTIONARY_BYTES:
             out[row.lang] = (have + letters(row.text)[:SAMPLE_BYTES] + b" ")[:DICTIONARY_BYTES]
-    return out
+    often = {r.lang: r["count"] for r in taught.groupBy("lang").count().collect()}  # a row for each language
+    return dict(sorted(out.items(), key=lambda x: (-often[x[0]], x[0])))
 
 
 @lru_cache(maxsize=4)
@@ -73,14 +75,14 @@ def predict(text: str | None, dictionaries: tuple[tuple[str, bytes], ...]) -> tu
     if not text or not dictionaries or not _has_letter(text):
         return UNKNOWN, 0.0, True
     raw = letters(text)
-    sizes = sorted((len(c.compress(raw)), lang) for lang, c in _compressors(dictionaries))
+    sizes = sorted((len(c.compress(raw)), k, lang) for k, (lang, c) in enumerate(_compressors(dictionaries)))
     best = sizes[0]
     margin = sizes[1][0] - best[0] if len(sizes) > 1 else len(raw)
-    return best[1], 1 / (1 + math.exp(-min(margin / SCALE, 40.0))), len(raw) >= ENOUGH_BYTES and margin < NARROW * best[0]
+    return best[2], 1 / (1 + math.exp(-min(margin / SCALE, 40.0))), len(raw) >= ENOUGH_BYTES and margin < NARROW * best[0]
 
 
 def report(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
+    held = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [predict(t, held.value) for t in batch.column("text").to_pylist()]
@@ -91,7 +93,7 @@ def report(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 def keep(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The documents that aren't rejected, as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
+    held = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([not predict(t, held.value)[2] for t in batch.column("text").to_pylist()], pa.bool_()))
