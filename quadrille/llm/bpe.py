@@ -30,7 +30,7 @@ from quadrille.llm.common import map_rows, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 1 << 16
 _NONE = 1 << 60
 
 REPORT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import textops as X
-from quadrille.llm.common import cut, map_rows, offsets_of, screened, table
+from quadrille.llm.common import bitmap, cut, in_bitmap, map_rows, offsets_of, screened, table
 from quadrille.ship import ship
 
 SIZE, ROWS = 128, 4
+#: Elements whose permutations are held at once: 256 bytes each.
+BLOCK = 1 << 14
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -40,9 +42,16 @@ def super_min_hash(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
     Once all places hold less than j + 1, later ranks change nothing, and the loop stops.
     """
     held = np.full(size, np.inf)
-    n = len(elements)
+    for at in range(0, len(elements), BLOCK):
+        _lower(held, elements[at : at + BLOCK])
+    return held
+
+
+def _lower(held: np.ndarray, elements: np.ndarray) -> None:
+    """Lowers the minima by some elements; what is held already stops their ranks earlier."""
+    size, n = len(held), len(elements)
     rows, places = np.arange(n), None
-    for j in range(min(size, size if n else 0)):
+    for j in range(size):
         noise = X.mix(elements + X.U64((j + 1) * _GOLDEN % 2**64))
         value = (noise >> X.U64(11)).astype(np.float64) * 2.0**-53 + j
         pick = j + (X.mix(noise ^ X.U64(0xA5A5A5A5A5A5A5A5)) % X.U64(size - j)).astype(np.int64)
@@ -58,7 +67,6 @@ def super_min_hash(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
         np.minimum.at(held, place, value)
         if held.max() < j + 1:
             break
-    return held
 
 
 def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -105,15 +113,20 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles) of the wanted ids."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, shingles) of the wanted ids; a bitmap of them spares the others' shingles."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, wanted.count()))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        batch = batch.filter(pa.array(in_bitmap(ids, held.value)))
+        if not batch.num_rows:
+            return None
         sets = shingle_sets(batch.column("text"), shingle)
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
         return pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(offsets_of([len(s) for s in sets]), pa.array(flat))], names=["doc_id", "shingles"])
 
-    some, _ = screened(docs.select("doc_id", "text"), wanted, wanted.count())
-    return map_rows(some.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "text", run, "doc_id bigint, shingles array<bigint>")
+    rows = map_rows(docs.select("doc_id", "text"), "text", run, "doc_id bigint, shingles array<bigint>")
+    return rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
