@@ -25,13 +25,12 @@ def distance(v: str, p: str) -> str:
     """Distance of a point from the volume; 0 inside."""
     ball = f"{L.length(_to(v, p))} - ({v}).radius"
     # Along each axis the part of the offset beyond the half length is left over.
-    d, axes = _to(v, p), f"({v}).half_axes"
-    left = d
+    shares = []
     for k in (0, 3, 6):
+        along = " + ".join(f"({p}[{i}] - ({v}).center[{i}]) * {axes}[{k + i}]" for i in range(3))
         size = L.length(axes, k)
-        along = " + ".join(f"({d})[{i}] * {axes}[{k + i}]" for i in range(3))
-        share = f"if({size} < {FLAT}, 0D, greatest(-1D, least(1D, ({along}) / nullif({size} * {size}, 0D))))"
-        left = "array(" + ", ".join(f"({left})[{i}] - {axes}[{k + i}] * {share}" for i in range(3)) + ")"
+        shares.append(f"if({size} < {FLAT}, 0D, greatest(-1D, least(1D, ({along}) / nullif({size} * {size}, 0D))))")
+    left = "array(" + ", ".join(f"{p}[{i}] - ({v}).center[{i}]" + "".join(f" - {axes}[{k + i}] * {share}" for k, share in zip((0, 3, 6), shares, strict=True)) for i in range(3)) + ")"
     return f"greatest(0D, if(({v}).kind = 'sphere', {ball}, aggregate({left}, 0D, (s, x) -> s + x * x, s -> sqrt(s))))"
 
 
