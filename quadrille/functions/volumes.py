@@ -24,6 +24,7 @@ def _to(v: str, p: str) -> str:
 def distance(v: str, p: str) -> str:
     """Distance of a point from the volume; 0 inside."""
     ball = f"{L.length(_to(v, p))} - ({v}).radius"
+    axes = f"({v}).half_axes"
     # Along each axis the part of the offset beyond the half length is left over.
     shares = []
     for k in (0, 3, 6):

@@ -36,10 +36,10 @@ def submesh(triangles: DataFrame, vertices: DataFrame, chosen: DataFrame) -> Dat
     Vertices are numbered in the order in which they are first seen; corners whose vertex doesn't exist are left out.
     """
     corners = chosen.join(triangles, [*_PRIM, "triangle"]).select(*_PRIM, "place", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "vertex"))
-    at = corners.join(vertices.select(*_PRIM, "vertex"), [*_PRIM, "vertex"], "left_semi").withColumn("at", F.expr("place * 3 + corner"))
-    first = at.groupBy(*_PRIM, "vertex").agg(F.min("at").alias("seen"))
+    slots = corners.join(vertices.select(*_PRIM, "vertex"), [*_PRIM, "vertex"], "left_semi").withColumn("slot", F.expr("place * 3 + corner"))
+    first = slots.groupBy(*_PRIM, "vertex").agg(F.min("slot").alias("seen"))
     number = (F.row_number().over(Window.partitionBy(*_PRIM).orderBy("seen")) - 1).cast("bigint")
-    return at.join(first.withColumn("local", number).drop("seen"), [*_PRIM, "vertex"]).select(*_PRIM, "at", "vertex", "local")
+    return slots.join(first.withColumn("local", number).drop("seen"), [*_PRIM, "vertex"]).select(*_PRIM, "slot", "vertex", "local")
 
 
 def bounds(vertices: DataFrame, *keys: str) -> DataFrame:

@@ -3,20 +3,21 @@
 One camera per set decides from the root down which tiles to refine, and from the leaves up what covers
 them: a refined tile whose children don't all cover keeps what was on screen, else shows itself, else asks
 to be loaded urgently.  Both passes run by depth, all sets at once, so a step costs one join on the parent
-and no set is ever in one task.
+and no set is ever in one task.  Each level is written to the shared folder: plans stay short however deep
+the trees are, and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import detail as D
 from quadrille.functions import volumes as V
 from quadrille.operators.tree import above
+from quadrille.tables import written
 
 URGENT, DESCEND, NORMAL, PRELOAD = range(4)
 #: Places in the order of emission: what a tile asks for before and after its children, and after all tiles.
@@ -54,17 +55,12 @@ def metrics(nodes: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """Kept on the executors between passes, recomputed from the tables if one is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def visited(measured: DataFrame, levels: int) -> list[DataFrame]:
     """By depth: the tiles reached from the roots through refined tiles; culled tiles but not roots are passed by."""
-    out = [_held(measured.where("depth = 0"))]
+    out = [measured.where("depth = 0")]
     for depth in range(1, levels):
         open_ = out[-1].where("refined").select("set_id", F.col("tile").alias("parent"))
-        out.append(_held(measured.where(f"depth = {depth} AND NOT culled").join(open_, ["set_id", "parent"], "left_semi")))
+        out.append(written(measured.where(f"depth = {depth} AND NOT culled").join(open_, ["set_id", "parent"], "left_semi")))
     return out
 
 
@@ -87,7 +83,7 @@ def resolved(levels: list[DataFrame]) -> list[DataFrame]:
         here = here.withColumn("case", F.expr(_CASE))
         here = here.withColumn("covered", F.expr("CASE WHEN case IN ('stop', 'add') THEN settled ELSE case <> 'drop' END"))
         here = here.withColumn("any_last", F.expr(f"CASE case WHEN 'stop' THEN rendered_last WHEN 'add' THEN rendered_last OR {_ANY} WHEN 'covered' THEN {_ANY} WHEN 'keep' THEN true WHEN 'swap' THEN rendered_last ELSE false END"))
-        out[depth] = _held(here.drop("children_covered", "children_last"))
+        out[depth] = written(here.drop("children_covered", "children_last"))
     return out
 
 
@@ -99,7 +95,7 @@ def shown(levels: list[DataFrame]) -> DataFrame:
         if depth:
             over = rows.select("set_id", F.col("tile").alias("parent"), F.expr("hidden OR case IN ('swap', 'drop')").alias("hidden"))
             rows = levels[depth].join(over, ["set_id", "parent"], "left").withColumn("hidden", F.coalesce("hidden", hidden))
-        rows = _held(rows)
+        rows = written(rows)
         out.append(rows.withColumn("render", F.expr("NOT hidden AND state = 'ready' AND case IN ('stop', 'add', 'swap')")).drop("hidden"))
     whole = out[0]
     for more in out[1:]:
@@ -107,7 +103,7 @@ def shown(levels: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def loads(seen: DataFrame, nodes: DataFrame) -> DataFrame:
+def loads(seen: DataFrame) -> DataFrame:
     """What visited tiles ask for, and unloaded ancestors of what is shown, in order; a tile may ask twice."""
     pending = seen.where("state = 'pending'")
     ask = F.expr(f"if(dist <= {D.INSIDE}, {URGENT}, {NORMAL})")
@@ -132,10 +128,10 @@ def select(nodes: DataFrame, params: DataFrame, levels: int) -> Selection:
 
     Strict ancestors of visited tiles are visited themselves, so preloads need no other rows.
     """
-    measured = _held(metrics(nodes, params))
+    measured = written(metrics(nodes, params), "depth")
     whole = shown(resolved(visited(measured, levels)))
     flags = whole.select("set_id", "tile", F.lit(True).alias("touched"), "refined", "render", "covered", "any_last", "case")
-    asked = loads(_held(whole), nodes)
+    asked = loads(whole)
     out = nodes.join(flags, ["set_id", "tile"], "left")
     for name in ("touched", "refined", "render"):
         out = out.withColumn(name, F.coalesce(name, F.lit(False)))
