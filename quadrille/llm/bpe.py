@@ -30,7 +30,9 @@ from quadrille.llm.common import map_rows, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers.
-KNOWN_WORDS = 1 << 16
+KNOWN_WORDS = 200_000
+#: Bytes of text encoded together: enough new words for their trees to change in step.
+SLICE_BYTES = 1 << 20
 _NONE = 1 << 60
 
 REPORT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -266,7 +268,7 @@ def report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             said_sha.append(hashlib.sha256(said.encode()).hexdigest())
         return pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(said_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_rows(docs.select("doc_id", "text"), "text", run, REPORT)
+    return map_rows(docs.select("doc_id", "text"), "text", run, REPORT, SLICE_BYTES)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -279,7 +281,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             said.append(decoded)
         return pa.record_batch([batch.column("doc_id"), batch.column("lang"), batch.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string())], names=["doc_id", "lang", "source", "n_tokens", "ids", "decoded"])
 
-    return map_rows(docs.select("doc_id", "lang", "source", "text"), "text", run, "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, decoded string")
+    return map_rows(docs.select("doc_id", "lang", "source", "text"), "text", run, "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, decoded string", SLICE_BYTES)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

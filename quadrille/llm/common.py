@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,12 +15,22 @@ from quadrille.llm.textops import slices
 from quadrille.ship import ship
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def map_rows(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 1 << 20) -> DataFrame:
+def give_back() -> None:
+    """Returns what a batch has freed to the system: workers live long and are many."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def map_rows(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 1 << 18) -> DataFrame:
     """``fn`` over the rows in slices of at most ``most`` bytes of ``column`` (a single longer text is a slice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,6 +39,7 @@ def map_rows(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+            give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
