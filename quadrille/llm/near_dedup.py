@@ -164,14 +164,17 @@ def beside_leaders(member: DataFrame, seen: DataFrame, percent: int) -> DataFram
     up, down = 100 + percent, 100 - percent
     # y of at most |x| * 100 / percent shingles: |x| + |y| <= |x| * (100 + percent) / percent, times down / up.
     own = seen.withColumn("prefix", F.expr(f"cast(floor((n + more - less) * {down} / {percent}) as bigint) + 1"))
-    parts = own.where("size(added) > 0").select("a", "b", "linked", "prefix", F.explode("added").alias("e"))
+    parts = own.where("size(added) > 0").select("a", "b", "linked", "prefix", "n", "more", "less", F.explode("added").alias("e"))
     # Elements that the same members add are one class: a pair meets once for each class, not for each element.
     often = parts.groupBy("a", "e").agg(F.count("*").alias("f"), F.bit_xor(F.xxhash64("b")).alias("class")).where("f > 1")
     order = Window.partitionBy("a", "b").orderBy(F.col("f").asc_nulls_first(), "e")
     first = parts.join(often, ["a", "e"], "left").withColumn("rank", F.row_number().over(order)).where("rank <= prefix and f is not null")
-    first = cut(first.select("a", "class", "b", "linked").distinct())
-    one = first.where("not linked").selectExpr("a", "class", "b AS x")
-    shared = one.join(first.selectExpr("a", "class", "b AS y", "linked"), ["a", "class"]).where("x <> y and (linked or x < y)").select("x", "y")
+    first = cut(first.select("a", "class", "b", "linked", "n", "more", "less").distinct())
+    one = first.where("not linked").selectExpr("a", "class", "b AS x", "more AS x_more", "less AS x_less", "n + more - less AS x_size")
+    other = first.selectExpr("a", "class", "b AS y", "linked", "more AS y_more", "less AS y_less", "n + more - less AS y_size")
+    # Sets that differ in how much they add and lack differ by that at least.
+    alike = f"{up} * (abs(x_more - y_more) + abs(x_less - y_less)) <= {down} * (x_size + y_size)"
+    shared = one.join(other, ["a", "class"]).where(f"x <> y and (linked or x < y) and {alike}").select("x", "y")
     # beyond: how far x is past the limit from the leader; lost: how much more x lacks than it adds; both times (up - down) / ...
     scaled = seen.select("a", "b", F.expr(f"{up - down} * more + {up + down} * less - {2 * down} * n").alias("beyond"), F.expr(f"{up - down} * (less - more)").alias("lost"))
     at = member.where("a <> b and many").join(scaled, ["a", "b"]).select("key", "b", "beyond", "lost")
