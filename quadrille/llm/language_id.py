@@ -2,6 +2,8 @@
 
 Each language has a zstandard raw-content dictionary of sample texts; a text belongs to the language
 whose dictionary compresses it smallest, and is rejected where the margin to the next one is narrow.
+A text is compressed in pieces, each from the dictionary alone, and the sizes of all its pieces count: a
+dictionary is out of the window's reach behind the first of them.
 
 The sample: of each language at most SLOTS documents outside the held-out fold, spread by hash, of each
 at most SAMPLE_BYTES, together at most DICTIONARY_BYTES.
@@ -27,6 +29,8 @@ from quadrille.llm.common import fold, map_rows, slot_sample, table
 SLOTS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1024, 64 << 10
 #: Short matches, since words of a language share endings more than whole words.
 PARAMETERS = {"window_log": 17, "chain_log": 15, "hash_log": 15, "search_log": 3, "min_match": 3, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
+#: Bytes of a piece; with a dictionary it fits the window of PARAMETERS.
+PIECE = 64 << 10
 #: Bytes of margin at which the score is 0.73.
 SCALE = 4.0
 #: Texts of at least this many bytes are rejected below this relative margin; shorter ones tell too little to.
@@ -75,7 +79,7 @@ def predict(text: str | None, dictionaries: tuple[tuple[str, bytes], ...]) -> tu
     if not text or not dictionaries or not _has_letter(text):
         return UNKNOWN, 0.0, True
     raw = letters(text)
-    sizes = sorted((len(c.compress(raw)), k, lang) for k, (lang, c) in enumerate(_compressors(dictionaries)))
+    sizes = sorted((sum(len(c.compress(raw[a : a + PIECE])) for a in range(0, len(raw), PIECE)), k, lang) for k, (lang, c) in enumerate(_compressors(dictionaries)))
     best = sizes[0]
     margin = sizes[1][0] - best[0] if len(sizes) > 1 else len(raw)
     return best[2], 1 / (1 + math.exp(-min(margin / SCALE, 40.0))), len(raw) >= ENOUGH_BYTES and margin < NARROW * best[0]

@@ -139,6 +139,14 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.report(docs, {}).collect()} == {"und"}
 
 
+def test_language_of_long_text():
+    kinds = {lang: ["".join(R.choice("etaoinshrdlu") for _ in range(6)) for _ in range(2000)] for lang in ("aa", "bb")}
+    say = lambda lang, n: " ".join(R.choice(kinds[lang]) for _ in range(n // 7))
+    taught = tuple((lang, say(lang, 64 << 10).encode()) for lang in kinds)
+    assert language_id.predict(say("aa", 20_000) + " " + say("bb", 1_000_000), taught)[0] == "bb"
+    assert all(language_id.predict(say(lang, 3_000_000), taught)[::2] == (lang, False) for lang in kinds)
+
+
 def test_quality(spark):
     rows = [(k, words(30) + (" !!! $$$" * 5 if k % 3 == 0 else "."), int(k % 3 != 0)) for k in range(150)] + [(900, None, 1), (901, "", 0)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
