@@ -27,3 +27,14 @@ def test_stages(spark, tmp_path):
     assert 101 not in seen["near_dedup"] and 100 in seen["near_dedup"]
     assert passage not in seen["decontamination"][102].text and "[EMAIL]" in seen["pii"][103].text
     assert all(row.n_tokens == len(row.ids) for row in seen["bpe"].values())
+
+
+def test_language_stage_keeps_long_documents(spark):
+    import random
+
+    r = random.Random(5)
+    kinds = {lang: ["".join(r.choice("etaoinshrdlu") for _ in range(6)) for _ in range(2000)] for lang in ("aa", "bb")}
+    say = lambda lang, n: " ".join(r.choice(kinds[lang]) for _ in range(n // 7))
+    rows = [(k, say(lang, 1000), lang, "s", 0) for k in range(160) for lang in [("aa", "bb")[k % 2]]] + [(1000 + k, say(lang, 3_000_000), lang, "s", 0) for k, lang in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {row.doc_id for row in corpus_pipeline.identify_language(spark, docs, "").select("doc_id").collect()} == {row[0] for row in rows}
