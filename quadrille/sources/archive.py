@@ -195,9 +195,10 @@ class Archive:
         return decoded(method, body)
 
 
-def spans(index: DataFrame, group: str, start: str) -> DataFrame:
-    """``index`` with span, the bytes up to the next entry; null for the last."""
-    return index.withColumn("span", F.lead(start).over(Window.partitionBy(group).orderBy(start)) - F.col(start))
+def spans(index: DataFrame, group: str, start: str, most: int = MOST_SPAN) -> DataFrame:
+    """``index`` with span, the bytes up to the next entry; null for the last and above ``most``."""
+    span = F.lead(start).over(Window.partitionBy(group).orderBy(start)) - F.col(start)
+    return index.withColumn("span", F.when(span <= most, span))
 
 
 _ENTRIES = "archive string, path string, data binary, error string"
