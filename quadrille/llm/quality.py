@@ -4,8 +4,8 @@ Features of a text are hashed unigrams and bigrams of its words and of the words
 capitals and digits collapsed, other signs kept, ``=`` for a word that repeats the one before), as shares
 of all.  The score is the logistic function of a sparse dot product with the weights.
 
-Training takes at most SLOTS labelled documents of each label outside the held-out fold, spread by hash,
-and at most SAMPLE_CHARS of each text; scoring takes whole texts.
+Training takes at most SLOTS labelled documents of each label outside the held-out fold, spread by hash;
+it reads whole texts, as scoring does.
 
 Defined results: null, empty and wordless texts score by the intercept alone; documents with several
 labels teach each; with no labels every score is 0.5; repeated rows repeat; other columns are ignored.
@@ -22,7 +22,7 @@ from quadrille.llm import textops as X
 from quadrille.llm.common import fold, map_rows, slot_sample, table
 
 BITS = 18
-SLOTS, SAMPLE_CHARS, EPOCHS = 1536, 8192, 4
+SLOTS, EPOCHS = 1536, 4
 #: A text's shares sum to this.
 SCALE = 8.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.02
@@ -89,7 +89,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     by_id: dict[int, list[int]] = {}
     for row in chosen:
         by_id.setdefault(row.doc_id, []).append(row.label)
-    found = docs.where(F.col("doc_id").isin(list(by_id))).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect() if by_id else []
+    found = docs.where(F.col("doc_id").isin(list(by_id))).select("doc_id", "text").collect() if by_id else []
     pairs = sorted((r.doc_id, r.text or "", label) for r in found for label in sorted(by_id[r.doc_id]))
     return train([p[1] for p in pairs], [p[2] for p in pairs])
 

@@ -155,3 +155,13 @@ def test_quality(spark):
     held = [(out[k].predicted, y) for k, _, y in rows[:150] if out[k].held_out]
     assert sum(a == b for a, b in held) / len(held) > 0.9 and out[900].score == out[901].score
     assert {r.score for r in quality.report(docs, quality.learn(docs, labels.where("false"))).collect()} == {0.5}
+
+
+def test_quality_learns_from_whole_texts(spark):
+    head = words(2500)
+    rows = [(k, head + (" !!! $$$" * 400 if k % 2 else " " + words(800)), int(k % 2 == 0)) for k in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    assert len(head) > 8192
+    out = {r.doc_id: r.score for r in quality.report(docs, quality.learn(docs, labels)).collect()}
+    assert min(out[k] for k, _, y in rows if y) > max(out[k] for k, _, y in rows if not y) + 0.5
