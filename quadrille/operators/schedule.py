@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.tables import ranked
+
 
 def candidates(loads: DataFrame, slots: DataFrame, classes: DataFrame) -> DataFrame:
     """Loads that can start, with their rank in their set, and whether they are the first of a set with nothing ready.
@@ -14,9 +16,8 @@ def candidates(loads: DataFrame, slots: DataFrame, classes: DataFrame) -> DataFr
     """
     ready = slots.groupBy("set_id").agg(F.bool_or(F.col("state") == "Ready").alias("has_ready"))
     open_ = loads.where("content_uri is not null").join(slots.where("state <> 'NotLoaded'").select("set_id", "tile"), ["set_id", "tile"], "left_anti")
-    within = (F.row_number().over(Window.partitionBy("set_id").orderBy("seq")) - 1).cast("bigint")
     return (
-        open_.withColumn("within", within).join(ready, "set_id", "left").join(classes, "set_id", "left")
+        ranked(open_, ["set_id"], ["seq"], "within").join(ready, "set_id", "left").join(classes, "set_id", "left")
         .select("set_id", "tile", F.coalesce("class", F.lit(0)).alias("class"), F.expr("within = 0 AND NOT coalesce(has_ready, false)").alias("starving_root"), "within")
     )
 
@@ -61,10 +62,12 @@ def landed(payloads: DataFrame, slots: DataFrame) -> DataFrame:
 
 def bounded_intake(messages: DataFrame, most: int) -> DataFrame:
     """Messages (seq, lands) up to the ``most``-th that lands content; those that don't land don't count."""
-    before = F.sum(F.col("lands").cast("bigint")).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     limit = messages.where("lands").orderBy("seq").limit(most).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
     cut = messages.join(F.broadcast(limit)).where(f"n < {most} OR seq <= last").drop("n", "last")
-    return cut.withColumn("landed_before", F.coalesce(before, F.lit(0)))
+    # Those that land number themselves; the others stand behind the last of these before them, of which there are at most ``most``.
+    landing = cut.where("lands").select("seq").orderBy("seq").limit(most)
+    places = landing.agg(F.array_sort(F.collect_list("seq")).alias("places"))
+    return cut.join(F.broadcast(places)).withColumn("landed_before", F.expr("cast(size(filter(places, p -> p < seq)) as bigint)")).drop("places")
 
 
 def decode_stats(decodes: DataFrame, *keys: str) -> DataFrame:

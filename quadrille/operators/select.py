@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import detail as D
 from quadrille.functions import volumes as V
 from quadrille.operators.tree import above
-from quadrille.tables import written
+from quadrille.tables import ranked, written
 
 URGENT, DESCEND, NORMAL, PRELOAD = range(4)
 #: Places in the order of emission: what a tile asks for before and after its children, and after all tiles.
@@ -119,8 +119,7 @@ def loads(seen: DataFrame) -> DataFrame:
     early = seen.where("state = 'pending'").join(ups, ["set_id", "path"]).join(asked.select("set_id", "tile").distinct(), ["set_id", "tile"], "left_anti")
     first = F.expr(f"concat(array({_END}L), cast(first AS array<bigint>), array(cast(-depth AS bigint)))")
     every = asked.unionByName(early.select("set_id", "tile", F.lit(PRELOAD).alias("priority"), F.col("near_key").alias("key"), first.alias("emitted")))
-    order = Window.partitionBy("set_id").orderBy("priority", "key", "emitted")
-    return every.withColumn("seq", (F.row_number().over(order) - 1).cast("bigint")).drop("emitted")
+    return ranked(every, ["set_id"], ["priority", "key", "emitted"], "seq").drop("emitted")
 
 
 def select(nodes: DataFrame, params: DataFrame, levels: int) -> Selection:

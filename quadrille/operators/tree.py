@@ -6,18 +6,19 @@ world_from_tile, world_from_content).  ``path`` orders tiles depth first, and an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import geodesy as G
 from quadrille.functions import linear as L
 from quadrille.functions import uris as U
 from quadrille.functions import volumes as V
+from quadrille.tables import ranked, written
 
 #: Levels below a root that a document may have.
 MOST_LEVELS = 256
-#: Tiles that one flattening may produce.
-MOST_TILES = 2_000_000_000
 
 
 def _get(node: str, at: str, kind: str) -> str:
@@ -45,27 +46,40 @@ def flatten(docs: DataFrame) -> DataFrame:
             docs = docs.withColumn(name, F.expr(value))
     local = lambda node: f"coalesce({_get(node, 'transform', 'array<double>')}, {L.IDENTITY})"
     step = lambda inherited: f"""coalesce({_own_volume('node', 'world', 'frame')}, {inherited})"""
-    query = f"""
-    WITH RECURSIVE t(set_id, frame, path, node, refine, world, volume) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-      SELECT set_id, frame, path, node, refine, world, coalesce({step('base_volume')}, cast(raise_error('a root has no usable bounding volume') AS {V.TYPE}))
-      FROM (SELECT set_id, frame, if(size(base_path) = 0, array(0), base_path) AS path, variant_get(doc, '$.root', 'variant') AS node, base_volume,
-                   coalesce(variant_get(doc, '$.root.refine', 'string'), base_refine) AS refine, {L.multiply('base_world', local("variant_get(doc, '$.root', 'variant')"))} AS world FROM {{docs}})
-      UNION ALL
-      SELECT set_id, frame, path, node, refine, world, {step('inherited')}
-      FROM (SELECT t.set_id, t.frame, array_append(t.path, c.pos) AS path, c.value AS node, coalesce({_get('c.value', 'refine', 'string')}, t.refine) AS refine,
-                   {L.multiply('t.world', local('c.value'))} AS world, t.volume AS inherited
-            FROM t, LATERAL variant_explode(variant_get(t.node, '$.children', 'variant')) AS c)
+    root, spark = local("variant_get(doc, '$.root', 'variant')"), docs.sparkSession
+    level = spark.sql(
+        f"""SELECT set_id, frame, path, node, refine, world, coalesce({step('base_volume')}, cast(raise_error('a root has no usable bounding volume') AS {V.TYPE})) AS volume
+        FROM (SELECT set_id, frame, if(size(base_path) = 0, array(0), base_path) AS path, variant_get(doc, '$.root', 'variant') AS node, base_volume,
+                     coalesce(variant_get(doc, '$.root.refine', 'string'), base_refine) AS refine, {L.multiply('base_world', root)} AS world FROM {{docs}})""",
+        docs=docs,
     )
-    SELECT set_id, path, size(path) - 1 AS depth, {_get('node', 'geometricError', 'double')} AS geometric_error, upper(refine) AS refine,
-           coalesce({_get('node', 'content.uri', 'string')}, {_get('node', 'content.url', 'string')}) AS content_uri, volume, world AS world_from_tile,
-           {L.multiply('world', L.YUP_TO_ZUP)} AS world_from_content
-    FROM t LIMIT {MOST_TILES if MOST_TILES < 2**31 else 'ALL'}"""
-    return docs.sparkSession.sql(query, docs=docs)
+    levels: list[DataFrame] = []
+    while True:  # a level is a table; sets of any number and size stay spread over all tasks
+        level = written(level)
+        levels.append(level)
+        below = spark.sql(
+            f"""SELECT set_id, frame, path, node, refine, world, {step('inherited')} AS volume
+            FROM (SELECT t.set_id, t.frame, array_append(t.path, c.pos) AS path, c.value AS node, coalesce({_get('c.value', 'refine', 'string')}, t.refine) AS refine,
+                         {L.multiply('t.world', local('c.value'))} AS world, t.volume AS inherited
+                  FROM {{level}} t, LATERAL variant_explode(variant_get(t.node, '$.children', 'variant')) AS c)""",
+            level=level,
+        )
+        if below.isEmpty():
+            break
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"a document has more than {MOST_LEVELS} levels below its root")
+        level = below
+    return reduce(DataFrame.union, levels).selectExpr(
+        "set_id", "path", "size(path) - 1 AS depth", f"{_get('node', 'geometricError', 'double')} AS geometric_error", "upper(refine) AS refine",
+        f"coalesce({_get('node', 'content.uri', 'string')}, {_get('node', 'content.url', 'string')}) AS content_uri", "volume", "world AS world_from_tile",
+        f"{L.multiply('world', L.YUP_TO_ZUP)} AS world_from_content",
+    )
 
 
 def numbered(nodes: DataFrame, first: Column | None = None) -> DataFrame:
     """``nodes`` with tile, their depth-first number in their set (from ``first``), and parent."""
-    rows = nodes.withColumn("tile", (F.row_number().over(Window.partitionBy("set_id").orderBy("path")) - 1 + (first if first is not None else F.lit(0))).cast("bigint"))
+    rows = ranked(nodes, ["set_id"], ["path"], "tile")
+    rows = rows if first is None else rows.withColumn("tile", F.col("tile") + first)
     above = rows.select("set_id", F.col("path").alias("_above"), F.col("tile").alias("parent"))
     return rows.withColumn("_above", F.expr("slice(path, 1, size(path) - 1)")).join(above, ["set_id", "_above"], "left").drop("_above")
 
@@ -112,8 +126,7 @@ def marked_above(nodes: DataFrame, marks: DataFrame) -> DataFrame:
 
 def retain(nodes: DataFrame, keep: Column) -> DataFrame:
     """The kept tiles, numbered anew in the order of their old numbers; ``was`` is the old number."""
-    order = Window.partitionBy("set_id").orderBy("tile")
-    kept = nodes.where(keep).withColumn("was", F.col("tile")).withColumn("tile", (F.row_number().over(order) - 1).cast("bigint"))
+    kept = ranked(nodes.where(keep).withColumnRenamed("tile", "was"), ["set_id"], ["was"], "tile")
     names = kept.select("set_id", F.col("was").alias("parent"), F.col("tile").alias("_parent"))
     return kept.join(names, ["set_id", "parent"], "left").withColumn("parent", F.col("_parent")).drop("_parent")
 

@@ -15,6 +15,7 @@ from quadrille.functions import volumes as V
 from quadrille.operators import geometry, residency, schedule, tree
 from quadrille.operators.select import Selection, history, metrics, select
 from quadrille.plans import derived as T
+from quadrille.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +104,19 @@ def q_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(_selection(spark, sf_dir))
 
 
+@_query(_SELECTED + " SELECT set_id, tile, wants, protects, refined FROM w")
+def q_select_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every visited tile, whether it is refined, and why."""
+    measured = metrics(T.tiles(spark, sf_dir), T.params(spark, sf_dir)).select("set_id", "tile", "wants", "protects")
+    return _selection(spark, sf_dir).nodes.where("touched").select("set_id", "tile", "refined").join(measured, ["set_id", "tile"]).select("set_id", "tile", "wants", "protects", "refined")
+
+
+@_query(_SELECTED + " SELECT set_id, tile, refined, render, covered FROM w WHERE refine = 'ADD'")
+def q_add_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visited tiles that stay beside their children, and whether they are shown."""
+    return _selection(spark, sf_dir).nodes.where("touched AND refine = 'ADD'").select("set_id", "tile", "refined", "render", "covered")
+
+
 @_query(_SELECTED + " SELECT set_id, tile FROM w WHERE protects")
 def q_zoom_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles refined only because they were, and their own content isn't there yet."""
@@ -349,19 +363,19 @@ def q_md5_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("page_id", "lower(hex(h)) AS hash", f"lower(hex({U.sort_key('h')})) AS sort_key")
 
 
-@_query("SELECT a.page_id, b.page_id AS entry FROM pages a JOIN pages b ON md5(a.url) = md5(b.url) AND a.url = b.url WHERE a.page_id % 3 = 0")
+@_query("SELECT a.page_id, b.page_id AS entry FROM pages a JOIN pages b ON md5(a.url) = md5(b.url) AND a.url = b.url")
 def q_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.derived(spark, sf_dir, _URLS).withColumn("hash", F.expr(U.path_hash("url")))
     index = rows.select("hash", F.col("page_id").alias("entry"), F.col("url").alias("name"))
-    return rows.where("page_id % 3 = 0").join(index, "hash").where(F.expr(f"{U.normalized('url')} = {U.normalized('name')}")).select("page_id", "entry")
+    return rows.join(index, "hash").where(F.expr(f"{U.normalized('url')} = {U.normalized('name')}")).select("page_id", "entry")
 
 
-@_query("SELECT set_id, start, lead(start) OVER (PARTITION BY set_id ORDER BY start) - start AS span FROM (SELECT DISTINCT l_suppkey % 16 AS set_id, l_orderkey * 8 + l_linenumber AS start FROM lineitem) QUALIFY span <= 64 OR span IS NULL")
+@_query("SELECT set_id, start, CASE WHEN span <= 67108864 THEN span END AS span FROM (SELECT set_id, start, lead(start) OVER (PARTITION BY set_id ORDER BY start) - start AS span FROM (SELECT DISTINCT l_suppkey % 16 AS set_id, l_orderkey * 8 + l_linenumber AS start FROM lineitem))")
 def q_entry_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.sources.archive import spans
 
     rows = T.derived(spark, sf_dir, "SELECT DISTINCT l_suppkey % 16 AS set_id, l_orderkey * 8 + l_linenumber AS start FROM {lineitem}")
-    return spans(rows, "set_id", "start").where("span <= 64 OR span is null")
+    return spans(rows, "set_id", "start")
 
 
 @_query(r"""SELECT page_id, regexp_extract(url, '^[^?#]*') LIKE '%.3tz' AS is_archive, nullif(regexp_extract(regexp_extract(url, '^[^?#]*'), '^.*/'), '') AS directory, regexp_matches(url, '\?(.*&)?ref=') AS has_ref,
@@ -392,6 +406,49 @@ def q_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.selectExpr("page_id", f"{head} AS text").selectExpr("page_id", f"{U.marker('text', 'draco')} AS draco", f"{U.vanilla('text')} AS vanilla", f"{U.looks_like_tileset('text')} AS tileset", f"{U.prepare_declines('text', 'page_id % 2 = 0')} AS declines", f"{U.extract_declines('text', 'page_id % 2 = 0')} AS extract_declines")
 
 
+# Tileset documents and archives.
+
+#: The documents' tiles by the keys that they come from; paths number the children of each tile from 0.
+_DOC_TILES = f"""c AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY c) - 1 AS j FROM ({T.duck(T.CUSTOMER_NODES)})),
+n AS (SELECT CAST(n_regionkey AS BIGINT) AS set_id, n_nationkey AS nation, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+t AS (SELECT set_id, [0] AS path, 0 AS depth, 'REPLACE' AS refine, NULL AS content_uri, set_id * 4000.0 AS x, 0.0 AS y, 1024.0 AS r, set_id * 4000.0 AS moved FROM (SELECT DISTINCT set_id FROM n)
+UNION ALL SELECT set_id, [0, i], 1, CASE WHEN nation % 4 = 1 THEN 'ADD' ELSE 'REPLACE' END, CASE WHEN nation % 3 = 0 THEN concat('n', nation, '.glb') END, set_id * 4000.0 + CASE WHEN nation % 5 = 0 THEN 0 ELSE nation * 17 END, 0.0, CASE WHEN nation % 5 = 0 THEN 1024.0 ELSE 128.0 END, set_id * 4000.0 + nation * 16 FROM n
+UNION ALL SELECT c.set_id, [0, i, j], 2, CASE WHEN nation % 4 = 1 THEN 'ADD' ELSE 'REPLACE' END, concat('c/', c, '.glb'), c.set_id * 4000.0 + nation * 16 + c % 64, c % 32 * 1.0, 1.0 + c % 4, c.set_id * 4000.0 + nation * 16 FROM c JOIN n USING (nation)),
+k AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY path) - 1 AS tile FROM t)"""
+
+
+@_query(f"WITH {_DOC_TILES} SELECT k.set_id, k.tile, p.tile AS parent, k.depth, k.refine, k.content_uri, k.x::DOUBLE AS x, k.y::DOUBLE AS y, k.r::DOUBLE AS radius, k.moved::DOUBLE AS moved FROM k LEFT JOIN k p ON p.set_id = k.set_id AND len(k.path) > 1 AND p.path = k.path[:-2]")
+def q_tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as trees: depth-first numbers, parents, composed matrices, inherited refinement and volumes."""
+    rows = tree.build(T.documents(spark, sf_dir))
+    return rows.selectExpr("set_id", "tile", "parent", "depth", "refine", "content_uri", "volume.center[0] AS x", "volume.center[1] AS y", "volume.radius AS radius", "world_from_tile[12] AS moved")
+
+
+_GRAFTED = '{"asset": {"version": "1.1"}, "geometricError": 2, "root": {"geometricError": 2, "boundingVolume": {"sphere": [1, 2, 0, 3]}, "children": [{"geometricError": 0, "content": {"uri": "x.glb"}}]}}'
+
+
+@_query(f"""WITH {_DOC_TILES}, h AS (SELECT set_id, tile AS host, row_number() OVER (PARTITION BY set_id ORDER BY tile) - 1 AS g, depth, refine, moved, content_uri FROM k WHERE content_uri LIKE 'c/%7.glb'),
+s AS (SELECT set_id, count(*) AS size FROM k GROUP BY set_id)
+SELECT set_id, tile, depth, refine, CASE WHEN content_uri LIKE 'c/%7.glb' THEN NULL ELSE content_uri END AS content_uri, x::DOUBLE AS x, NULL::BIGINT AS host FROM k
+UNION ALL SELECT set_id, size + 2 * g + below, depth + 1 + below, refine, CASE WHEN below = 1 THEN 'c/x.glb' END, moved + 1, host + CASE WHEN below = 1 THEN size + 2 * g - host ELSE 0 END FROM h JOIN s USING (set_id), (VALUES (0), (1)) b(below)""")
+def q_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grafted below other documents' tiles, and what their tiles hang on."""
+    nodes = written(tree.build(T.documents(spark, sf_dir)))
+    at = nodes.where("content_uri like 'c/%7.glb'").selectExpr("set_id", "tile AS at", "'local' AS frame", f"parse_json('{_GRAFTED}') AS doc")
+    size = nodes.groupBy("set_id").agg(F.count("*").alias("size"))
+    return tree.graft(nodes, at).join(size, "set_id").selectExpr("set_id", "tile", "depth", "refine", "content_uri", "volume.center[0] AS x", "if(tile >= size, parent, null) AS host")
+
+
+@_query("SELECT CAST(page_id % 7 AS VARCHAR) AS archive, concat('p/', page_id, '.html') AS path, md5(html) AS digest, CAST(strlen(html) AS BIGINT) AS bytes FROM pages WHERE html IS NOT NULL")
+def q_3tz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages packed into archives, every other one deflated, and read back."""
+    from quadrille.sources.archive import read_archives, write_archives
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null")
+    packed = write_archives(pages.selectExpr("cast(page_id % 7 AS string) AS archive", "concat('p/', page_id, '.html') AS path", "cast(html AS binary) AS data", "page_id % 2 = 0 AS deflate"))
+    return read_archives(packed.selectExpr("archive AS path", "content")).selectExpr("archive", "path", "md5(data) AS digest", "cast(octet_length(data) AS bigint) AS bytes")
+
+
 # Geometry.
 
 _TRI = "SELECT tile, CAST(0 AS BIGINT) AS mesh, CAST(0 AS BIGINT) AS prim, triangle, k % 50 AS v0, (k + 1) % 53 AS v1, (k * 3) % 57 AS v2 FROM (SELECT l_suppkey % 10 AS tile, l_orderkey * 8 + l_linenumber AS triangle, max(l_partkey) AS k FROM {lineitem} GROUP BY l_suppkey % 10, l_orderkey * 8 + l_linenumber) y"

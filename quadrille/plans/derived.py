@@ -7,6 +7,7 @@ comparison start from the same rows.  Coordinates are small integers, so arithme
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A tree for each region: region, nations, eight groups of each nation's customers, customers.
 TILES = """
@@ -64,6 +65,11 @@ SELECT n_nationkey AS id, (n_nationkey % 12) * 0.25E0 - 1.5E0 AS west, (n_nation
        (n_nationkey % 9) * 0.125E0 - 0.5E0 + (n_nationkey % 5 + 1) * 0.0625E0 AS north, 0E0 AS low, (n_nationkey % 4) * 100E0 AS high FROM {nation}
 """
 
+#: Tileset documents: a root for each region, a child for each nation, their children for its customers.
+CUSTOMER_NODES = """
+SELECT CAST(n.n_regionkey AS BIGINT) AS set_id, n.n_nationkey AS nation, c.c_custkey AS c FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+"""
+
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -89,3 +95,21 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, PARAMS).selectExpr("set_id", "array(px, py, pz) AS cam_pos", "array(fx, fy, fz) AS cam_forward", "k_px", "sse_threshold_px", "detail_falloff_m", "cam_height_m")
+
+
+def _move(x: str) -> str:
+    return f"transform(array(1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, {x}, 0, 0, 1), v -> cast(v AS double))"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(set_id, frame, doc): the tileset documents of CUSTOMER_NODES."""
+    sphere = lambda x, y, r: f"named_struct('sphere', transform(array({x}, {y}, 0, {r}), v -> cast(v AS double)))"
+    leaf = f"named_struct('geometricError', 0, 'boundingVolume', {sphere('c % 64', 'c % 32', '1 + c % 4')}, 'content', named_struct('uri', concat('c/', c, '.glb')))"
+    tiles = derived(spark, sf_dir, CUSTOMER_NODES).groupBy("set_id", "nation").agg(F.array_sort(F.collect_list(F.expr(f"struct(c, {leaf} AS node)"))).alias("leaves"))
+    nations = derived(spark, sf_dir, "SELECT CAST(n_regionkey AS BIGINT) AS set_id, n_nationkey AS nation FROM {nation}").join(tiles, ["set_id", "nation"], "left")
+    branch = f"""named_struct('geometricError', 4, 'boundingVolume', if(nation % 5 = 0, null, {sphere('nation', '0', '128')}), 'refine', if(nation % 4 = 1, 'ADD', null),
+      'transform', {_move('nation * 16')}, 'content', if(nation % 3 = 0, named_struct('url', concat('n', nation, '.glb')), null), 'children', transform(coalesce(leaves, array()), l -> l.node))"""
+    sets = nations.groupBy("set_id").agg(F.array_sort(F.collect_list(F.expr(f"struct(nation, {branch} AS node)"))).alias("branches"))
+    root = f"named_struct('geometricError', 64, 'boundingVolume', {sphere('0', '0', '1024')}, 'refine', 'replace', 'transform', {_move('set_id * 4000')}, 'children', transform(branches, b -> b.node))"
+    text = F.expr(f"to_json(named_struct('asset', named_struct('version', '1.1'), 'geometricError', 64, 'root', {root}))")
+    return sets.select("set_id", F.lit("local").alias("frame"), F.parse_json(text).alias("doc"))

@@ -1,20 +1,25 @@
-"""Tables in the shared folder, with which lineage is cut."""
+"""Tables in the shared folder, with which lineage is cut, and numbering of rows without a window over whole groups."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, one beside the warehouse."""
+    """The folder in spark.checkpoint.dir; only where that is unset and there is no cluster, one beside the warehouse."""
     conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    if folder := conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
 
 
 def written(df: DataFrame, *partitions: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; the files go when the application ends."""
+    """``df`` written to the shared folder and read back: a lost executor costs no recomputation; the files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quadrille-{uuid.uuid4().hex}"
     df.write.partitionBy(*partitions).parquet(path)
@@ -22,3 +27,20 @@ def written(df: DataFrame, *partitions: str) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, in its group's order.
+
+    A window would sort a whole group in one task.  Here ranges of (group, order) are sorted, and a table with a
+    row for each part of a group in a range, of which there are no more than groups and ranges together, tells where parts start.
+    """
+    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = written(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    parts = rows.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)) - F.col("_first"))
+    parts = parts.select(*(F.col(g).alias(f"_{k}") for k, g in enumerate(group)), F.col("_part").alias("_same"), "_before")
+    same = [F.col(g).eqNullSafe(F.col(f"_{k}")) for k, g in enumerate(group)] + [F.col("_part") == F.col("_same")]
+    return rows.join(parts, same).select(*df.columns, (F.col("_at") + F.col("_before")).cast("bigint").alias(name))
