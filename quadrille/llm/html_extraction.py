@@ -1,14 +1,17 @@
 """Operator 1: main text of web pages by a conditional random field over DOM leaf blocks.
 
 A page is read into leaf blocks: runs of text that no block element divides, in page order, each with
-its open elements.  The field's features are the ancestors' tags, what their ids, classes and roles
-mention, and the text's length, links and punctuation.  It is trained on the labelled pages that
+what its open elements say.  The reader goes forward only, and each open element sums up those around it,
+so time and memory are in proportion to the page however it is nested or broken.  The field's features are
+the ancestors' tags, what their ids, classes and roles mention, and the text's length, links and punctuation.  It is trained on the labelled pages that
 ``labelled`` builds from layouts written for it, and decoded by Viterbi.
 
 Scripts, styles, forms' controls, comments in markup and hidden elements never make blocks.
 
-Defined results: a null or empty page has the empty text; markup may be cut off or unclosed anywhere;
-repeated rows repeat; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty page has the empty text; very long pages are read whole; markup may be
+cut off or unclosed anywhere: a tag without an end is dropped with what follows it, a quote without an end
+ends with its tag, and what belongs into a body closes an open head; blocks that score alike for both
+labels are no main text; repeated rows repeat; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -27,8 +31,8 @@ from quadrille.llm.crf import Crf, train
 
 REPORT = "page_id bigint, url string, text string, n_chars bigint"
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TAG_NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+_GAP, _NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"))
 _SILENT = frozenset(("head", "template", "svg", "math", "select", "button", "canvas", "object", "audio", "video", "datalist"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -37,6 +41,8 @@ _BLOCK = frozenset(
 )
 #: A start tag of these closes an open element of its group up to the bound.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+_LINKS_ONLY = frozenset(("base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title", "head"))
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _SCOPE = frozenset(("td", "th", "caption", "table", "html", "button", "template"))
 
 #: What ids, classes and roles may mention, by theme.
@@ -56,53 +62,92 @@ _THEME = {word: theme for theme, words in _THEMES.items() for word in words.spli
 _PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 
 
-@dataclass
+@dataclass(slots=True)
+class Open:
+    """An open element and what it and those around it say together."""
+
+    tag: str
+    #: known tags; themes mentioned
+    tags: frozenset[str] = frozenset()
+    themes: frozenset[str] = frozenset()
+    #: innermost block element; innermost element that says something about its purpose
+    inner: str = ""
+    purpose: str = "none"
+    hidden: bool = False
+    link: bool = False
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    #: (tag, themes) of the open elements, outermost first
-    path: tuple[tuple[str, frozenset[str]], ...]
+    at: Open
     #: characters inside links
     linked: int = 0
 
 
-@dataclass
-class _Open:
-    tag: str
-    themes: frozenset[str] = frozenset()
-    hidden: bool = False
+_PURPOSEFUL = frozenset(("nav", "aside", "footer", "header", "form", "article", "main"))
+_KNOWN = _BLOCK | _INLINE
+_NOWHERE = Open("")
 
 
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=list)
+    stack: list[Open] = field(default_factory=list)
+    #: tag -> places in the stack; places of block elements
+    places: dict[str, list[int]] = field(default_factory=dict)
+    block_places: list[int] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
+    def top(self) -> Open:
+        return self.stack[-1] if self.stack else _NOWHERE
+
+    def last(self, tag: str) -> int:
+        return where[-1] if (where := self.places.get(tag)) else -1
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, tuple((o.tag, o.themes) for o in self.stack), min(self.linked, len(text))))
+                self.blocks.append(Block(text, self.top(), min(self.linked, len(text))))
             self.parts, self.linked = [], 0
 
+    def push(self, new: Open) -> None:
+        self.places.setdefault(new.tag, []).append(len(self.stack))
+        if new.tag in _BLOCK:
+            self.block_places.append(len(self.stack))
+        self.stack.append(new)
+
+    def cut(self, at: int) -> None:
+        """Closes all elements from a place of the stack on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in _BLOCK:
+                self.block_places.pop()
+
     def data(self, raw: str) -> None:
-        if raw and not any(o.hidden for o in self.stack):
+        if not raw:
+            return
+        if self.top().tag == "head" and not raw.isspace():
+            self.cut(len(self.stack) - 1)
+        top = self.top()
+        if not top.hidden:
             text = html.unescape(raw) if "&" in raw else raw
             self.parts.append(text)
-            if any(o.tag == "a" for o in self.stack):
+            if top.link:
                 self.linked += len(text.strip())
 
-    def close_to(self, tags: tuple[str, ...], bounds: frozenset[str] | tuple[str, ...]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag in tags:
-                self.flush()
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in bounds:
-                return
+    def close_to(self, tags: tuple[str, ...], bounds: Iterable[str]) -> None:
+        at = max(map(self.last, tags))
+        if at >= 0 and at > max(map(self.last, bounds)):
+            self.flush()
+            self.cut(at)
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, said: dict[str, str]) -> None:
+        if tag not in _LINKS_ONLY and self.top().tag == "head":
+            self.cut(len(self.stack) - 1)
         if tag == "br":
             self.parts.append(" ")
             return
@@ -113,55 +158,102 @@ class _Reader:
             self.close_to(*_CLOSES[tag])
         if tag in _VOID:
             return
-        said = {n.lower(): v.strip("\"'") for n, v in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-        words = _PART.findall(f"{said.get('id', '')} {said.get('class', '')} {said.get('role', '')} {said.get('itemprop', '')}") if said else ()
+        around, themes = self.top(), frozenset()
+        if said:
+            words = _PART.findall(f"{said.get('id', '')} {said.get('class', '')} {said.get('role', '')} {said.get('itemprop', '')}")
+            themes = frozenset(_THEME[w.lower()] for w in words if w.lower() in _THEME)
         style = said.get("style", "").replace(" ", "").lower()
-        hidden = tag in _SILENT or "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        self.stack.append(_Open(tag, frozenset(_THEME[w.lower()] for w in words if w.lower() in _THEME), hidden))
+        hidden = around.hidden or tag in _SILENT or "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+        self.push(
+            Open(
+                tag, around.tags | {tag} if tag in _KNOWN and tag not in around.tags else around.tags, around.themes if themes <= around.themes else around.themes | themes,
+                tag if tag in _BLOCK else around.inner, f"{tag if tag in _KNOWN else 'x'}:{min(themes)}" if themes else tag if tag in _PURPOSEFUL else around.purpose, hidden, around.link or tag == "a",
+            )
+        )
 
     def end(self, tag: str) -> None:
         if tag in _BLOCK:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                if any(o.tag in _BLOCK for o in self.stack[k:]):
-                    self.flush()
-                # A stray inline end tag doesn't close blocks opened since.
-                if tag in _BLOCK or not any(o.tag in _BLOCK for o in self.stack[k:]):
-                    del self.stack[k:]
-                return
+        at = self.last(tag)
+        if at < 0:
+            return
+        # A stray inline end tag doesn't close blocks opened since.
+        if tag in _BLOCK or not self.block_places or self.block_places[-1] < at:
+            if self.block_places and self.block_places[-1] >= at:
+                self.flush()
+            self.cut(at)
+
+
+def _attributes(page: str, at: int, quotes: dict[str, int]) -> tuple[dict[str, str], int]:
+    """A tag's attributes from behind its name, and where it ends; -1 if it doesn't.  ``quotes`` has each quote's last place."""
+    said: dict[str, str] = {}
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return said, -1
+        if page[at] == ">":
+            return said, at + 1
+        m = _NAME.match(page, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        if m := _EQUALS.match(page, at):
+            at = m.end()
+            sign = page[at : at + 1]
+            if sign and sign in quotes:
+                if quotes[sign] <= at:  # it has no end
+                    end = page.find(">", at)
+                    return said, end + 1 if end >= 0 else -1
+                end = page.find(sign, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = _BARE.match(page, at)
+                value, at = m[0], m.end()
+        if name not in said:
+            said[name] = html.unescape(value) if "&" in value else value
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order."""
     if not page:
         return []
-    reader, at, low = _Reader(), 0, None
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
+    reader, at, low, size = _Reader(), 0, None, len(page)
+    quotes = {sign: page.rfind(sign) for sign in "\"'"}
+    while at < size:
+        tag_at = page.find("<", at)
+        if tag_at < 0:
             reader.data(page[at:])
             break
-        reader.data(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        reader.data(page[at:tag_at])
+        sign, at = page[tag_at + 1 : tag_at + 2], tag_at + 1
+        if sign and sign in "!?" or sign == "/" and not page[tag_at + 2 : tag_at + 3].isalpha():
+            close = "-->" if page.startswith("!--", at) else "]]>" if page.startswith("![CDATA[", at) else ">"
+            end = page.find(close, at)
+            at = size if end < 0 else end + len(close)
+            continue
+        m = _TAG_NAME.match(page, at)
+        if m is None:
+            reader.data("<")
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag, closing = m[1].lower(), sign == "/"
+        said, at = _attributes(page, m.end(), quotes)
+        if at < 0:
+            break
+        if closing:
             reader.end(tag)
         elif tag in _RAW:
-            low = low if low is not None else page.lower()
-            end = low.find("</" + tag, at) if len(low) == len(page) else -1
-            if end < 0 and len(low) != len(page):
-                found = re.compile("</" + tag, re.I).search(page, at)
-                end = found.start() if found else -1
-            at = len(page) if end < 0 else end
+            low = low if low is not None else page.translate(_ASCII_LOWER)
+            end = low.find("</" + tag, at)
+            at = size if end < 0 else end
         else:
-            reader.start(tag, m[3])
+            reader.start(tag, said)
     reader.flush()
     return reader.blocks
 
 
+#: Tags that say nothing by standing around a block.
+_PLAIN = frozenset(("html", "body", "div", "span", "b", "i", "em", "strong"))
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _bucket(n: int) -> int:
     return min(n.bit_length(), 8)
 
@@ -169,21 +261,15 @@ def _bucket(n: int) -> int:
 def features(page: list[Block]) -> list[list[str]]:
     out = []
     for b in page:
-        names = []
-        tags, depth_main = set(), False
-        for tag, themes in b.path:
-            tags.add(tag)
-            names += ["theme=" + t for t in themes]
-        inner = next(((tag, themes) for tag, themes in reversed(b.path) if tag in _BLOCK), ("", frozenset()))
-        names += ["in=" + t for t in tags if t not in ("html", "body", "div", "span", "b", "i", "em", "strong")]
-        depth_main = bool(tags & {"article", "main"}) or any("main" in t for _, t in b.path)
-        # The innermost container that says something about its purpose.
-        purpose = next((f"{tag}:{min(themes)}" if themes else tag for tag, themes in reversed(b.path) if themes or tag in ("nav", "aside", "footer", "header", "form", "article", "main")), "none")
+        at = b.at
+        main = not at.tags.isdisjoint(("article", "main")) or "main" in at.themes
         words = b.text.count(" ") + 1
         share = b.linked / len(b.text)
+        names = ["theme=" + t for t in at.themes]
+        names += ["in=" + t for t in at.tags if t not in _PLAIN]
         names += [
-            "own=" + inner[0], "purpose=" + purpose, f"main={depth_main}", f"words={_bucket(words)}", f"words={_bucket(words)},own={inner[0]}",
-            f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}", f"links={share >= 0.5},main={depth_main}", f"stop={b.text[-1] in '.!?…\"»”'}", f"stop={b.text[-1] in '.!?'},words={_bucket(words)}",
+            "own=" + at.inner, "purpose=" + at.purpose, f"main={main}", f"words={_bucket(words)}", f"words={_bucket(words)},own={at.inner}",
+            f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}", f"links={share >= 0.5},main={main}", f"stop={b.text[-1] in '.!?…\"»”'}", f"stop={b.text[-1] in '.!?'},words={_bucket(words)}",
         ]
         if "©" in b.text or "copyright" in b.text.lower():
             names.append("owner")
