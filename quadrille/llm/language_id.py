@@ -6,12 +6,13 @@ A text is compressed in pieces, each from the dictionary alone, and the sizes of
 dictionary is out of the window's reach behind the first of them.
 
 The sample: of each language at most SLOTS documents outside the held-out fold, spread by hash, of each
-at most SAMPLE_BYTES, together at most DICTIONARY_BYTES.
+at most SAMPLE_BYTES from places all over its text, together at most DICTIONARY_BYTES.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; null
 languages teach nothing; with no language to learn every text is ``und``; ties go to the language of most
-documents outside the held-out fold, then to the first in alphabetical order; repeated rows repeat; other
-columns are ignored or, in ``keep``, kept.
+documents outside the held-out fold, then to the first in alphabetical order; of rows that repeat a doc_id
+and a language, the first text in order teaches; repeated rows repeat; very long texts are compressed whole;
+an empty table gives no rows; other columns are ignored or, in ``keep``, kept.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import fold, map_rows, slot_sample, table
 
 SLOTS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1024, 64 << 10
+#: Places of a text that a sample is taken from.
+PLACES = 8
 #: Short matches, since words of a language share endings more than whole words.
 PARAMETERS = {"window_log": 17, "chain_log": 15, "hash_log": 15, "search_log": 3, "min_match": 3, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
 #: Bytes of a piece; with a dictionary it fits the window of PARAMETERS.
@@ -49,8 +52,13 @@ def letters(text: str) -> bytes:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """language -> dictionary, from documents outside the held-out fold; the most frequent language first."""
     taught = docs.where(fold(F.col("doc_id")) != 0).where("lang is not null and text is not null").select("doc_id", "lang")
-    chosen = [r.doc_id for r in slot_sample(taught, "lang", "doc_id", SLOTS).collect()]
-    rows = docs.where(F.col("doc_id").isin(chosen)).where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect() if chosen else []
+    chosen = slot_sample(taught, "lang", "doc_id", SLOTS).collect()  # SLOTS rows for each language at most
+    pairs = docs.sparkSession.createDataFrame(chosen, "lang string, doc_id bigint")
+    share = SAMPLE_BYTES // PLACES
+    spread = F.concat_ws(" ", *(F.expr(f"substring(text, cast(length(text) * {k}L div {PLACES} as int) + 1, {share})") for k in range(PLACES)))
+    sample = F.when(F.length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(spread)
+    taken = docs.where("text is not null").select("lang", "doc_id", sample.alias("text")).join(F.broadcast(pairs), ["lang", "doc_id"])
+    rows = taken.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", "text").collect()
     out: dict[str, bytes] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.text)):
         if len(have := out.get(row.lang, b"")) < DICTIONARY_BYTES:

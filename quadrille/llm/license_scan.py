@@ -9,7 +9,8 @@ weight and the template's mandatory key phrase stands in the file.  Labels by ex
 Weights are integers (thousandths of the logarithm), so sums don't depend on their order.
 
 Defined results: a null text has no words, places or labels and score 0; repeated rows repeat with their
-own results; an empty table gives no rows; other columns are ignored.
+own results; very long texts are scanned whole; of alignments that score alike each gives its label, and the
+score is the best one's; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ page bounds and derives timestamps from granule positions.  A payload is stored
 8-bit samples; a second stream holds its length and the digest of its packets.
 
 Defined results: a null text is the empty one (64 zero bytes); equal texts give equal bytes and
-features; a damaged page, a lost page or an unknown version raises ValueError; repeated rows repeat;
-other columns are ignored.
+features, so there are no ties; very long texts are stored whole; a damaged page, a lost page or an unknown
+version raises ValueError; repeated rows repeat; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
