@@ -226,7 +226,7 @@ def q_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_HOLD + " SELECT DISTINCT c.set_id, c.tile FROM c JOIN s ON s.set_id = c.set_id AND s.tile = c.tile AND s.wanted JOIN s a ON a.set_id = c.set_id AND a.tile = c.up AND a.state = 'Ready' AND a.spawned AND a.visible AND NOT a.wanted JOIN h ON h.set_id = c.set_id AND h.tile = c.up")
 def q_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = T.tiles(spark, sf_dir).persist()
+    nodes = written(T.tiles(spark, sf_dir))
     slots = nodes.selectExpr(*_TILE_SLOTS.split(", "))
     return residency.covered_by_coarser(nodes, slots, residency.hold(nodes, slots))
 
@@ -476,6 +476,23 @@ def q_submesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.submesh(triangles, T.derived(spark, sf_dir, _VERT), chosen).select("tile", "slot", "vertex", "local")
 
 
+@_query(f"SELECT tile, vertex, x, y, z FROM ({T.duck(_VERT)})")
+def q_glb_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices packed into binary glTF, a file for each tile, and decoded again."""
+    import json
+
+    from quadrille.sources import glb
+
+    def pack(frame):
+        points = frame.sort_values("vertex")[["x", "y", "z"]].to_numpy("<f4")
+        doc = {"asset": {"version": "2.0"}, "nodes": [{"mesh": 0}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}}]}], "buffers": [{"byteLength": points.nbytes}],
+               "bufferViews": [{"buffer": 0, "byteLength": points.nbytes}], "accessors": [{"bufferView": 0, "componentType": 5126, "count": len(points), "type": "VEC3"}]}
+        return frame[["tile"]].head(1).assign(content=[glb.assemble(json.dumps(doc).encode(), points.tobytes())])
+
+    packed = T.derived(spark, sf_dir, _VERT).select("tile", "vertex", "x", "y", "z").groupBy("tile").applyInPandas(pack, "tile bigint, content binary")
+    return glb.tables(glb.decode_tiles(packed, "tile"), "tile")["vertices"].select("tile", "vertex", "x", "y", "z")
+
+
 @_query(f"SELECT tile, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM ({T.duck(_VERT)}) GROUP BY tile")
 def q_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.bounds(T.derived(spark, sf_dir, _VERT), "tile")

@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quadrille.sources import meshopt
 
@@ -219,10 +221,6 @@ TILE = (
 )
 
 
-def _listed(a: np.ndarray | None) -> list | None:
-    return None if a is None else a.tolist()
-
-
 def _splat(doc: Document, prim: dict[str, Any]) -> dict[str, Any]:
     """Gaussians: positions, colours with opacity in the fourth place, w-first rotations, scales; padded to a multiple of 32."""
     at, pre = prim["attributes"], "KHR_gaussian_splatting:"
@@ -268,8 +266,8 @@ def _primitive(doc: Document, prim: dict[str, Any]) -> dict[str, Any]:
     return {"kind": "mesh", "material": material, "positions": positions, "normals": get("NORMAL"), "uvs": get("TEXCOORD_0"), "colors": colors, "indices": doc.indices(prim["indices"]) if "indices" in prim else None, "features": features}
 
 
-def decode(content: bytes, georeferenced: bool = False) -> dict[str, Any]:
-    """One tile's content as a row of TILE."""
+def parsed(content: bytes, georeferenced: bool = False) -> dict[str, Any]:
+    """One tile's content as a row of TILE whose vertex data are arrays."""
     out: dict[str, Any] = dict.fromkeys(("error", "declined", "rtc_center", "copyright"), None) | {"node_paths": [], "materials": [], "primitives": []}
     try:
         doc = Document.of(content)
@@ -287,8 +285,7 @@ def decode(content: bytes, georeferenced: bool = False) -> dict[str, Any]:
             for k, prim in enumerate(doc.part("meshes", node["mesh"]).get("primitives", [])):
                 got = _primitive(doc, prim)
                 row = dict.fromkeys(("material", "normals", "uvs", "colors", "indices", "features", "rotations", "scales"))
-                row |= {n: _listed(v) if isinstance(v, np.ndarray) else v for n, v in got.items()}
-                rows.append(row | {"mesh": node["mesh"], "prim": k, "transform": world.T.reshape(-1).tolist()})
+                rows.append(row | got | {"mesh": node["mesh"], "prim": k, "transform": world.T.reshape(-1)})
         out["primitives"] = rows
     except Declined as reason:
         out["declined"] = str(reason)
@@ -297,21 +294,56 @@ def decode(content: bytes, georeferenced: bool = False) -> dict[str, Any]:
     return out
 
 
+def decode(content: bytes, georeferenced: bool = False) -> dict[str, Any]:
+    """One tile's content as a row of TILE."""
+    row = parsed(content, georeferenced)
+    return row | {"primitives": [{n: v.tolist() if isinstance(v, np.ndarray) else v for n, v in p.items()} for p in row["primitives"]]}
+
+
+def _arrow(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """A list column from arrays of one or two dimensions, without a Python object for each number; None is null."""
+    some = [v for v in values if v is not None]
+    inner = kind.value_type
+    flat = np.concatenate([v.reshape(-1) for v in some]) if some else np.zeros(0)
+    item = pa.array(flat.astype((inner.value_type if pa.types.is_list(inner) else inner).to_pandas_dtype(), copy=False))
+    if pa.types.is_list(inner):
+        widths = np.concatenate([np.full(len(v), v.shape[1]) for v in some]) if some else np.zeros(0, np.int64)
+        item = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)), item)
+    offs = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), item, mask=pa.array([v is None for v in values], pa.bool_())) if values else pa.array([], kind)
+
+
+def _batch(rows: list[dict[str, Any]], schema: pa.Schema) -> list[pa.Array]:
+    """Columns of TILE."""
+    out = []
+    for f in schema:
+        if f.name != "primitives":
+            out.append(pa.array([r[f.name] for r in rows], f.type))
+            continue
+        every = [p for r in rows for p in r["primitives"]]
+        columns = [_arrow([p[c.name] for p in every], c.type) if pa.types.is_list(c.type) else pa.array([p[c.name] for p in every], c.type) for c in f.type.value_type]
+        offs = np.concatenate([[0], np.cumsum([len(r["primitives"]) for r in rows])]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offs), pa.StructArray.from_arrays(columns, fields=list(f.type.value_type))))
+    return out
+
+
 def decode_tiles(tiles: DataFrame, *keys: str, georeferenced: bool = False) -> DataFrame:
-    """``keys`` of (…, content) rows and TILE's columns."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.select(*keys).schema) + ", " + TILE
+    """``keys`` of (…, content) rows and TILE's columns; vertex data pass as Arrow buffers."""
+    own = StructType.fromDDL(TILE)
+    schema = StructType([*tiles.select(*keys).schema.fields, *own.fields])
+    shape = to_arrow_schema(own)
 
     def run(batches):
-        for frame in batches:
-            for k in range(0, len(frame), 16):  # decoded tiles are several times their content
-                part = frame.iloc[k : k + 16]
-                rows = pd.DataFrame([decode(bytes(c) if c is not None else b"", georeferenced) for c in part["content"]])
-                yield pd.concat([part[list(keys)].reset_index(drop=True), rows], axis=1)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 16):  # decoded tiles are several times their content
+                part = batch.slice(k, 16)
+                rows = [parsed(c or b"", georeferenced) for c in part.column("content").to_pylist()]
+                yield pa.record_batch([*(part.column(n) for n in keys), *_batch(rows, shape)], names=[*keys, *shape.names])
 
     from quadrille.ship import ship
 
     ship(tiles.sparkSession)
-    return tiles.select(*keys, "content").mapInPandas(run, schema)
+    return tiles.select(*keys, "content").mapInArrow(run, schema)
 
 
 def tables(decoded: DataFrame, *keys: str) -> dict[str, DataFrame]:

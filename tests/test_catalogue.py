@@ -11,7 +11,7 @@ from quadrille.plans.derived import NAMES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: One of each family; the rest run with the driver.
-SOME = ["q_select_cut", "q_loads", "q_frustum_cull", "q_topk_grant", "q_evict_overflow", "q_hold", "q_region_obb", "q_md5_index", "q_url_parse", "q_markers", "q_submesh"]
+SOME = ["q_select_cut", "q_loads", "q_frustum_cull", "q_topk_grant", "q_evict_overflow", "q_hold", "q_region_obb", "q_md5_index", "q_url_parse", "q_markers", "q_submesh", "q_tree_flatten", "q_3tz_roundtrip", "q_glb_decode", "q_entry_span", "q_index_lookup"]
 
 
 @pytest.mark.parametrize("name", SOME)

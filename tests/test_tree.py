@@ -64,6 +64,25 @@ def test_archives_through_spark(spark):
     assert {p: bytes(d) for p, d in zip(out["path"], out["data"], strict=True) if p} == {f"t/{i}": bytes([i] * 9) for i in range(20)}
 
 
+def test_ranked_is_a_window(spark):
+    from pyspark.sql import Window
+
+    from quadrille.tables import ranked
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 1, if(id % 97 = 5, null, id % 11)) AS set_id", "id * 7919 % 3001 AS k", "array(cast(id % 5 AS int)) AS path")
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("set_id").orderBy("path", "k")) - 1)
+    got = ranked(rows.repartition(7), ["set_id"], ["path", "k"], "n")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and ranked(rows.where("false"), ["set_id"], ["k"], "n").count() == 0
+
+
+def test_bounded_intake(spark):
+    from quadrille.operators.schedule import bounded_intake
+
+    rows = spark.createDataFrame([(k, k % 3 == 1) for k in range(12)], "seq bigint, lands boolean")
+    got = lambda most: [(r.seq, r.landed_before) for r in bounded_intake(rows, most).orderBy("seq").collect()]
+    assert got(2) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)] and len(got(50)) == 12 and got(50)[-1] == (11, 4) and got(0) == []
+
+
 def test_slots_stream(spark, tmp_path):
     from quadrille.streaming.slots import run_slots
 
