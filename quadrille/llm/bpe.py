@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.common import map_rows, offsets_of, table
-from quadrille.llm.textops import buffers
+from quadrille.llm.textops import buffers, distinct, word_array
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers; beyond it starts afresh.
@@ -324,12 +324,7 @@ class Bpe:
         starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER) | (kind[1:] == _SPECIAL)
         self._cut_contractions(points, kind, starts)
         begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, said), np.int64, len(said)) + 1)])
-        at = np.flatnonzero(starts)
-        some = points[inside]
-        ends = np.cumsum(1 + (some >= 0x80) + (some >= 0x800) + (some >= 0x10000).astype(np.int64))
-        raw = some.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-        offs = np.concatenate([[0], ends])[np.append((np.cumsum(inside) - inside)[at], len(some))].astype(np.int32)
-        return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(raw)]), np.searchsorted(at, begins)
+        return word_array(points, inside, starts), np.searchsorted(np.flatnonzero(starts), begins)
 
     @staticmethod
     def _cut_contractions(points: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> None:
@@ -348,10 +343,8 @@ class Bpe:
         words, word_offs = self.words([t or "" for t in texts])
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        coded = words.dictionary_encode()
-        _, offs, data = coded.dictionary.buffers()
-        raw, offs = data.to_pybytes(), np.frombuffer(offs, np.int32).tolist()
-        place = self.places([raw[a:b] for a, b in zip(offs, offs[1 : len(coded.dictionary) + 1], strict=False)])[coded.indices.to_numpy()]
+        every, which = distinct(words)
+        place = self.places(every)[which]
         counts = self.begin[place + 1] - self.begin[place]
         ids = self.flat[_runs(self.begin[place], counts)]
         return ids, np.concatenate([[0], np.cumsum(counts)])[word_offs]

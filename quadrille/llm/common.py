@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.textops import slices
 from quadrille.ship import ship
+from quadrille.tables import written as cut
 
 
 _LIBC = ctypes.CDLL(None)
@@ -45,26 +45,6 @@ def map_rows(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, one beside the warehouse."""
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a lost executor costs no recomputation.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quadrille-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 is held out of every training."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
@@ -79,6 +59,33 @@ def slot_sample(df: DataFrame, label: str, key: str, slots: int) -> DataFrame:
     return df.groupBy(F.col(label).alias(label), at.alias("_slot")).agg(F.min_by(key, F.xxhash64(F.col(key), F.lit(29))).alias(key)).drop("_slot")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, for what an operator carries along."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+#: Keys that are taken out of a shuffle at most, and rows of a key from which it is.
+HOT_KEYS, HOT_ROWS = 1 << 14, 1000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner", ready: bool = False) -> DataFrame:
+    """``left`` with the one row of ``right`` for its keys; no key brings more than a small share of the rows into one task.
+
+    ``weight`` of ``right`` (kept) counts the rows of ``left``.  The HOT_KEYS heaviest keys are broadcast, so
+    any other key holds less than a HOT_KEYS-th of all rows, or fewer than HOT_ROWS.  ``right`` is written first,
+    unless it is ``ready`` to be read twice.
+    """
+    right = right if ready else cut(right)
+    rows = right.where(F.col(weight) > HOT_ROWS).orderBy(F.desc(weight), *keys).limit(HOT_KEYS).collect()
+    if not rows:
+        return left.join(right, keys, how)
+    hot = F.broadcast(right.sparkSession.createDataFrame(rows, right.schema))
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right, keys, how))
+
+
 def offsets_of(lengths) -> pa.Array:
     """List offsets for :class:`pa.ListArray` from list lengths."""
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))

@@ -16,7 +16,7 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-@dataclass
+@dataclass(eq=False)
 class Crf:
     labels: list[str]
     index: dict[str, int]

@@ -3,17 +3,20 @@
 Documents with equal shingle sets form classes first, by partial aggregates.  One representative of
 each class gets a SuperMinHash signature (ranks of one permutation per shingle, stopped once no later
 rank can lower a minimum), whose bands make buckets.  A bucket's members are compared with a leader
-rather than with each other.  Two members of which one isn't linked to the leader are compared only if
-what they add to and lack from the leader allows a link (see ``beside_leaders``), so no pair above the
-threshold that shares a bucket is lost while no group is expanded into all its pairs.  Links are
-confirmed on full shingle sets, and components grow by distributed minimum labels with pointer jumping.
+rather than with each other.  Members that aren't known to be connected are grouped by what a link between
+them requires (see ``subgroups``); each group gets a leader of its own, and so on until no group is
+left but small ones, which are compared pair by pair.  A round compares every member of a larger group
+once, so none is expanded into its pairs, and no pair above the threshold that shares a bucket stays apart.  Links are confirmed on full shingle sets, and
+components grow by distributed minimum labels with pointer jumping.
 
 With 32 bands of 4 of 128 values a pair at a similarity of 0.8 shares no bucket with a probability
 of (1 - 0.8**4)**32 = 5e-8.
 
 Defined results: a null or wordless text has no shingles, is linked with nothing and is kept; fewer
-words than a shingle has make one shingle; repeated rows of one doc_id count as one document with the
-first's text left to Spark; an empty table gives no rows; other columns are ignored.
+words than a shingle has make one shingle; very long texts are read whole; of rows of one doc_id with
+different texts, the one whose set has the smallest digest stands for the document, and all get its
+component; equally long or similar leaders are told apart by doc_id; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +29,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import textops as X
-from quadrille.llm.common import bitmap, cut, in_bitmap, map_rows, offsets_of, screened, table
+from quadrille.llm.common import bitmap, cut, in_bitmap, keyed_join, map_rows, offsets_of, screened, table
 from quadrille.ship import ship
 
 SIZE, ROWS = 128, 4
 #: Elements whose permutations are held at once: 256 bytes each.
 BLOCK = 1 << 14
 _GOLDEN = 0x9E3779B97F4A7C15
+#: Members that are compared with one copy of their leader's set.
+SALT_ROWS = 4096
+#: Groups of at most this many pairs are compared pair by pair, since a leader spares them little.  In later rounds it
+#: is the largest of MOST for which all such groups have at most RAW pairs for each document to look at, of which at most
+#: PAIRS may be linked by what their members add and lack: comparisons stay in proportion to documents.
+FEW, MOST, RAW, PAIRS = 144, (1024, 8192, 65536, 1 << 20), 64, 4
 
 
 def super_min_hash(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -83,21 +92,25 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     data, offs = X.buffers(texts)
     data = X.LOWER[data]
     starts, ends, word_offs = X.words(data, offs, X.NONSPACE)
-    total = X.totals(X.word_hashes(data, starts, ends))
+    hashes = X.word_hashes(data, starts, ends)
     first, run_offs = X.starts_of_runs(word_offs, k)
-    runs = X.run_hashes(total, first, first + k)
+    runs = X.run_hashes(hashes, k)[first] if len(first) else first
     out = []
     for i in range(len(texts)):
         a, b = word_offs[i], word_offs[i + 1]
         if b - a >= k:
             out.append(np.unique(runs[run_offs[i] : run_offs[i + 1]]))
         elif b > a:
-            out.append(X.run_hashes(total, np.array([a]), np.array([b])))
+            out.append(np.array([X.sequence_hash(hashes[a:b])], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the shingle set, and the band keys."""
 
@@ -105,7 +118,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         sets = shingle_sets(batch.column("text"), shingle)
         keys = [bands(super_min_hash(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
         return pa.record_batch(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets_of([len(k) for k in keys]), pa.array(np.concatenate(keys) if keys else []).cast(pa.int64()))],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _digests(sets), pa.ListArray.from_arrays(offsets_of([len(k) for k in keys]), pa.array(np.concatenate(keys) if keys else []).cast(pa.int64()))],
             names=["doc_id", "n_shingles", "set_hash", "bands"],
         )
 
@@ -113,8 +126,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles) of the wanted ids; a bitmap of them spares the others' shingles."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, wanted.count()))
+    """(doc_id, shingles) of the wanted (doc_id, set_hash); a bitmap of the ids spares the others' shingles."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("doc_id"), wanted.count()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -123,29 +136,41 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             return None
         sets = shingle_sets(batch.column("text"), shingle)
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(offsets_of([len(s) for s in sets]), pa.array(flat))], names=["doc_id", "shingles"])
+        return pa.record_batch([batch.column("doc_id"), _digests(sets), pa.ListArray.from_arrays(offsets_of([len(s) for s in sets]), pa.array(flat))], names=["doc_id", "set_hash", "shingles"])
 
-    rows = map_rows(docs.select("doc_id", "text"), "text", run, "doc_id bigint, shingles array<bigint>")
-    return rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = map_rows(docs.select("doc_id", "text"), "text", run, "doc_id bigint, set_hash binary, shingles array<bigint>")
+    return rows.join(wanted, ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id"]).drop("set_hash")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, wide): n, the size of a's set; more and less, what b's adds and lacks; linked; and, of wide pairs, the added shingles."""
-    both = pairs.join(sets.selectExpr("doc_id AS b", "shingles AS y"), "b").join(sets.selectExpr("doc_id AS a", "shingles AS x"), "a").select("a", "b", "wide", "x", "y")
+    """Of pairs (a, b, wide, company): n, the size of a's set; more and less, what b's adds and lacks; linked; and, of wide pairs, the added shingles.
+
+    Rows of a leader a are dealt over salts by ``company``, which bounds their number; each salt gets a's set once.
+    """
+    dealt = pairs.withColumn("salt", F.expr(f"pmod(xxhash64(b), 1 + company div {SALT_ROWS})"))
+    members = dealt.select("a", "salt", "b", "wide").join(sets.selectExpr("doc_id AS b", "shingles"), "b").select("a", "salt", "b", "wide", "shingles")
+    leaders = dealt.select("a", "salt").distinct().join(sets.selectExpr("doc_id AS a", "shingles"), "a").selectExpr("a", "salt", "cast(null as bigint) AS b", "false AS wide", "shingles")
+    both = members.union(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            more, less, linked, size, added = [], [], [], [], []
-            for x, y, wide in zip(batch.column("x"), batch.column("y"), batch.column("wide").to_pylist(), strict=True):
-                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+            more, less, linked, size, added, kept = [], [], [], [], [], []
+            flat, offs = batch.column("shingles").values.to_numpy().view(np.uint64), batch.column("shingles").offsets.to_numpy()
+            for k, (b, wide) in enumerate(zip(batch.column("b").to_pylist(), batch.column("wide").to_pylist(), strict=True)):
+                y = flat[offs[k] : offs[k + 1]]
+                if b is None:
+                    x = y.copy()
+                    continue
                 found = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
                 common = int(found.sum())
-                size.append(len(x)), more.append(len(y) - common), less.append(len(x) - common)
+                size.append(len(x)), more.append(len(y) - common), less.append(len(x) - common), kept.append(k)
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
                 added.append(y[~found].view(np.int64) if wide else np.zeros(0, np.int64))
-            flat = np.concatenate(added) if added else np.zeros(0, np.int64)
+            out = np.concatenate(added) if added else np.zeros(0, np.int64)
+            ids = batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
             yield pa.record_batch(
-                [batch.column("a"), batch.column("b"), pa.array(size, pa.int64()), pa.array(more, pa.int64()), pa.array(less, pa.int64()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(offsets_of([len(x) for x in added]), pa.array(flat))],
+                [*ids.columns, pa.array(size, pa.int64()), pa.array(more, pa.int64()), pa.array(less, pa.int64()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(offsets_of([len(x) for x in added]), pa.array(out))],
                 names=["a", "b", "n", "more", "less", "linked", "added"],
             )
 
@@ -153,8 +178,48 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, n bigint, more bigint, less bigint, linked boolean, added array<bigint>")
 
 
-def beside_leaders(member: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that may be linked although one of the two isn't linked to the bucket's leader.
+def small_pairs(sized: DataFrame, few: int, percent: int) -> DataFrame:
+    """(a, b): pairs of different parts in groups of at most ``few``.
+
+    Sets that differ in how much they add and lack, as seen from the group's last leader, differ by that at least.
+    """
+    up, down = 100 + percent, 100 - percent
+    small = sized.where(f"pairs <= {few}").groupBy("g", "who", "sub").agg(F.collect_set(F.struct("b", "part", "apart", "more", "less", "size")).alias("all")).dropDuplicates(["g", "who"])
+    each = small.select(F.explode(F.filter("all", lambda x: x.apart)).alias("x"), "all").select("x", F.explode("all").alias("y"))
+    each = each.where(f"x.part <> y.part and (x.b < y.b or not y.apart) and {up} * (abs(x.more - y.more) + abs(x.less - y.less)) <= {down} * (x.size + y.size)")
+    return each.selectExpr("least(x.b, y.b) AS a", "greatest(x.b, y.b) AS b").distinct()
+
+
+def led(groups: DataFrame, company: DataFrame, members: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of groups (g, sub, b, part, apart, more, less, size): (g, a, b, company), the other members b beside a leader a; and (a, b), the pairs of small groups.
+
+    ``part`` is what b is known to be connected with, ``apart`` whether that isn't what most are.  The leader is the
+    member with most company, of those apart where there are any: the text that copies were made from.  Subgroups of
+    g with one leader become one group.  Pairs are those of different parts.
+    """
+    sizes = groups.groupBy("g", "sub").agg(F.count("*").alias("c"), F.sum(F.col("apart").cast("bigint")).alias("k"), F.bit_xor(F.xxhash64("b")).alias("who"), (F.min("part") != F.max("part")).alias("several"))
+    sizes = cut(sizes.where("several").select("g", "sub", "c", F.expr("k * c").alias("pairs"), "who"))
+    sized = cut(keyed_join(groups, sizes, ["g", "sub"], "c", ready=True))
+    few, pairs = FEW, None
+    if members:
+        total = sizes.select(*(F.sum(F.expr(f"if(pairs <= {most}, pairs, 0)")) for most in MOST)).first()
+        few = max((most for most, n in zip(MOST, total, strict=True) if (n or 0) <= RAW * members), default=FEW)
+    if few > FEW:
+        pairs = cut(small_pairs(sized, few, percent))
+        if pairs.count() > PAIRS * members:
+            few = FEW
+    if few == FEW:
+        pairs = cut(small_pairs(sized, few, percent))
+    many = cut(sized.where(f"pairs > {few}").select("g", "sub", "b", "apart").join(company, "b"))
+    best = many.groupBy("g", "sub").agg(F.max(F.struct("apart", "company", F.expr("-b AS minus"))).alias("m"), F.count("*").alias("c"))
+    beside = keyed_join(many.select("g", "sub", "b"), best.selectExpr("g", "sub", "-m.minus AS a", "m.company AS company", "c"), ["g", "sub"], "c").where("a <> b")
+    return beside.groupBy(F.xxhash64("g", "a").alias("g"), "a", "b").agg(F.max("company").alias("company")), pairs
+
+
+def subgroups(seen: DataFrame, percent: int) -> DataFrame:
+    """(g, sub, b, part, apart, more, less, size): groups of g's members outside of which no two of them are linked, but for those both linked to g's leader.
+
+    Groups whose members are known to be connected are left out.
 
     With leader L, A_x = x minus L and R_x = L minus x, two sets are linked if |A_x ^ A_y| + |R_x ^ R_y| is at
     most (100 - percent) / (100 + percent) * (|x| + |y|).  So either they share an added shingle, of which they
@@ -164,26 +229,28 @@ def beside_leaders(member: DataFrame, seen: DataFrame, percent: int) -> DataFram
     up, down = 100 + percent, 100 - percent
     # y of at most |x| * 100 / percent shingles: |x| + |y| <= |x| * (100 + percent) / percent, times down / up.
     own = seen.withColumn("prefix", F.expr(f"cast(floor((n + more - less) * {down} / {percent}) as bigint) + 1"))
-    parts = own.where("size(added) > 0").select("a", "b", "linked", "prefix", "n", "more", "less", F.explode("added").alias("e"))
-    # Elements that the same members add are one class: a pair meets once for each class, not for each element.
-    often = parts.groupBy("a", "e").agg(F.count("*").alias("f"), F.bit_xor(F.xxhash64("b")).alias("class")).where("f > 1")
-    order = Window.partitionBy("a", "b").orderBy(F.col("f").asc_nulls_first(), "e")
-    first = parts.join(often, ["a", "e"], "left").withColumn("rank", F.row_number().over(order)).where("rank <= prefix and f is not null")
-    first = cut(first.select("a", "class", "b", "linked", "n", "more", "less").distinct())
-    one = first.where("not linked").selectExpr("a", "class", "b AS x", "more AS x_more", "less AS x_less", "n + more - less AS x_size")
-    other = first.selectExpr("a", "class", "b AS y", "linked", "more AS y_more", "less AS y_less", "n + more - less AS y_size")
-    # Sets that differ in how much they add and lack differ by that at least.
-    alike = f"{up} * (abs(x_more - y_more) + abs(x_less - y_less)) <= {down} * (x_size + y_size)"
-    shared = one.join(other, ["a", "class"]).where(f"x <> y and (linked or x < y) and {alike}").select("x", "y")
+    parts = own.where("size(added) > 0").select("g", "b", "part", "prefix", F.explode("added").alias("e"))
+    # Elements that the same members add are one class: members meet once for each class, not for each element.
+    often = parts.groupBy("g", "e").agg(F.count("*").alias("f"), F.bit_xor(F.xxhash64("b")).alias("sub"), (F.min("part") != F.max("part")).alias("several")).where("several").drop("several")
+    order = Window.partitionBy("g", "b").orderBy(F.col("f").asc_nulls_first(), "e")
+    # Elements of one part alone come first: they can't be shared with another part, but count as rare.
+    shared = keyed_join(parts, often, ["g", "e"], "f", "left").withColumn("rank", F.row_number().over(order)).where("rank <= prefix and f is not null")
     # beyond: how far x is past the limit from the leader; lost: how much more x lacks than it adds; both times (up - down) / ...
-    scaled = seen.select("a", "b", F.expr(f"{up - down} * more + {up + down} * less - {2 * down} * n").alias("beyond"), F.expr(f"{up - down} * (less - more)").alias("lost"))
-    at = member.where("a <> b and many").join(scaled, ["a", "b"]).select("key", "b", "beyond", "lost")
-    reach = at.groupBy("key").agg(F.max("lost").alias("most"), F.min(F.when(F.col("beyond") > 0, F.col("beyond"))).alias("least")).where("most >= least")
-    at = cut(at.join(reach, "key").where("(beyond > 0 and beyond <= most) or lost >= least"))
-    far = at.where("beyond > 0").selectExpr("key", "b AS x", "beyond", "lost")
-    near = at.selectExpr("key", "b AS y", "beyond AS y_beyond", "lost AS y_lost")
-    lacking = far.join(near, "key").where("x <> y and beyond <= y_lost and y_beyond <= lost").select("x", "y")
-    return shared.union(lacking).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    scaled = seen.select("g", "b", "part", F.expr(f"{up - down} * more + {up + down} * less - {2 * down} * n").alias("beyond"), F.expr(f"{up - down} * (less - more)").alias("lost"))
+    reach = scaled.groupBy("g").agg(F.max("lost").alias("most"), F.min(F.when(F.col("beyond") > 0, F.col("beyond"))).alias("least"), F.count("*").alias("c"), (F.min("part") != F.max("part")).alias("several")).where("several and most >= least").drop("several")
+    lacking = keyed_join(scaled, reach, ["g"], "c").where("(beyond > 0 and beyond <= most) or lost >= least")
+    both = cut(shared.select("g", "sub", "b", "part").distinct().union(lacking.selectExpr("g", "cast(0 as bigint) AS sub", "b", "part")))
+    # Of two members of different parts one at least is outside of the smallest part, which large components tend to be.
+    main = both.groupBy("g", "sub").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("c"))
+    halves = keyed_join(both, main.where("low <> high"), ["g", "sub"], "c").withColumn("is_low", F.expr("part = low"))
+    return halves.select("g", "sub", "b", "part", F.expr("not is_low").alias("apart")).join(seen.selectExpr("g", "b", "more", "less", "n + more - less AS size"), ["g", "b"])
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (b, part) with what new links (a, b) connect."""
+    ends = links.join(label.selectExpr("b AS a", "part AS pa"), "a").join(label.selectExpr("b", "part AS pb"), "b").where("pa <> pb")
+    new = components(ends.selectExpr("pa AS a", "pb AS b"))
+    return cut(label.join(new.selectExpr("id AS part", "component"), "part", "left").select("b", F.coalesce("component", "part").alias("part")))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -211,29 +278,43 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
+def connected(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(b, part) of representatives (doc_id, set_hash, bands) that share a bucket: the smallest one reachable by links."""
+    member = cut(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b")))
+    sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    member = cut(keyed_join(member, sizes, ["key"], "c"))
+    company = cut(member.groupBy("b").agg(F.sum("c").alias("company")))
+    sets = cut(sets_of(docs, reps.join(company.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "set_hash"), shingle))
+    groups = member.selectExpr("0L AS g", "key AS sub", "b", "b AS part", "true AS apart", "0L AS more", "0L AS less", "0L AS size")
+    label, members = cut(company.selectExpr("b", "b AS part")), 0
+    while True:  # a group's leader is in none of its subgroups, so groups shrink
+        beside, pairs = led(groups, company, members, percent)
+        beside, members = cut(beside), company.count()
+        asked = pairs.join(company.selectExpr("b AS a", "company"), "a").selectExpr("a", "b", "false AS wide", "company")
+        asked = asked.union(beside.groupBy("a", "b").agg(F.lit(True).alias("wide"), F.max("company").alias("company")))
+        seen = cut(compare(asked.groupBy("a", "b").agg(F.max("wide").alias("wide"), F.max("company").alias("company")), sets, percent))
+        label = joined(label, seen.where("linked").select("a", "b"))
+        if beside.isEmpty():
+            return label
+        seen = cut(beside.select("g", "a", "b").join(seen, ["a", "b"]).join(label, "b"))
+        groups = cut(subgroups(seen, percent))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: n_shingles, component_id (the smallest doc_id reachable by links) and whether it is kept."""
     sig = cut(signatures(docs, shingle))
-    some = sig.where("n_shingles > 0")
-    classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    member = cut(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b")))
-    sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = cut(member.join(sizes, "key"))
-    # The leader is the member with most company over all buckets: the text that copies were made from, where there is one.
-    company = member.groupBy("b").agg(F.sum("c").alias("company"))
-    leaders = member.join(company, "b").groupBy("key").agg(F.max(F.struct("company", F.expr("-b AS minus"))).alias("m")).select("key", F.expr("-m.minus AS a"))
-    member = cut(member.join(leaders, "key").select("key", "a", "b", F.expr("c > 2 AS many")))
-    pairs = member.where("a <> b").groupBy("a", "b").agg(F.max("many").alias("wide"))
-    sets = cut(sets_of(docs, company.select(F.col("b").alias("doc_id")), shingle))
-    seen = cut(compare(pairs, sets, percent))
-    known = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = beside_leaders(member, seen, percent).join(known, ["a", "b"], "left_anti").withColumn("wide", F.lit(False))
-    links = seen.union(cut(compare(more, sets, percent))).where("linked").select("a", "b")
-    label = components(links)
-    whole = classes.join(label.selectExpr("id AS rep", "component"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
+    several = cut(sig.where("n_shingles > 0").groupBy("doc_id").agg(F.min("set_hash").alias("one"), F.max("set_hash").alias("other")).where("one <> other").select("doc_id", "one"))
+    if not several.isEmpty():
+        sig = cut(sig.join(several, "doc_id", "left").withColumn("stands", F.expr("one is null or set_hash = one")).withColumn("set_hash", F.expr("if(n_shingles > 0, coalesce(one, set_hash), set_hash)")).drop("one"))
+    else:
+        sig = sig.withColumn("stands", F.lit(True))
+    some = sig.where("n_shingles > 0 and stands")
+    classes = cut(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
+    reps = cut(some.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "set_hash", "bands").dropDuplicates(["doc_id"]))
+    label = connected(docs, reps, shingle, percent)
+    whole = classes.join(label.selectExpr("b AS rep", "part"), "rep", "left").select("set_hash", F.coalesce("part", "rep").alias("component_id"), "c")
     return (
-        sig.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash", "left")
+        keyed_join(sig.select("doc_id", "n_shingles", "set_hash"), whole, ["set_hash"], "c", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.expr("doc_id = component_id"))
     )

@@ -3,12 +3,15 @@
 Emails, IP addresses, card and phone numbers are found by rules over the whole text.  A conditional
 random field over word-shape features adds spans of national phone numbers, social security numbers,
 account numbers and secrets; it is trained from the small labelled table below and decoded by Viterbi
-in numpy batches.  Its sequences are the neighbourhoods of words with a digit or an at sign: a word
-further than CONTEXT words from one is outside of every span.  Added spans that meet one found by rule
-are dropped.
-
-Defined results: a null text is the empty one; offsets count code points; repeated rows repeat; other
-columns are ignored by ``report`` and kept by ``redact``.
+in numpy batches.  Its sequences are whole texts: a word's scores are sums over its own features and its
+neighbours', taken once for each distinct word and gathered.  Where no other label can beat "outside"
+in any run of words, the best path is outside (see ``open_words``); Viterbi decodes the
+stretches between such words, which gives the path that it would give over the whole text.  Added spans
+that meet one found by rule are dropped.
+
+Defined results: a null text is the empty one and has no spans; very long texts are read whole; offsets
+count code points; of labels that score alike the first listed wins; repeated rows repeat; an empty table
+gives no rows; other columns are ignored by ``report`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -18,15 +21,18 @@ import random
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.common import map_rows, table
-from quadrille.llm.crf import Crf, train
+from quadrille.llm.crf import Crf, train, viterbi
+from quadrille.llm.textops import distinct, word_array
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("national", "ssn", "account", "secret")
-CONTEXT = 3
+#: Distinct words whose scores a worker remembers.
+KNOWN_WORDS = 200_000
 
 REPORT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 
@@ -36,8 +42,8 @@ _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"\S+")
-_MARK = re.compile(r"[0-9@]")
+#: White space as str.isspace has it.
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()])
 
 Span = tuple[str, int, int]
 
@@ -77,7 +83,6 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-@lru_cache(maxsize=50_000)
 def _own(word: str) -> tuple[str, ...]:
     """Shape features of one word without the marks around it."""
     core = word.strip("\"'.,;:!?*#$%&<>[]{}|")
@@ -86,7 +91,8 @@ def _own(word: str) -> tuple[str, ...]:
     digits = sum("0" <= c <= "9" for c in core)
     if not digits:
         low = core.lower()
-        return ("plain", "w=" + low) if len(low) <= 12 else ("plain",)
+        inner = core[1:] != low[1:] and not core.isupper()
+        return ("plain", "w=" + low) if len(low) <= 12 else ("plain", "long", f"mixed={inner}", f"joined={not core.isalpha()}")
     alpha = sum(c.isalpha() for c in core)
     shape = re.sub(r"[0-9]+", lambda m: "0" * min(len(m[0]), 6), re.sub(r"[^\W\d_]+", "a", core))
     kind = "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core) else "alnum" if re.fullmatch(r"[0-9A-Za-z_+/=-]+", core) else "other"
@@ -118,7 +124,9 @@ def labelled(seed: int = 7, rows: int = 260) -> list[tuple[list[str], list[str]]
         return "".join(r.choice("0123456789") for _ in range(n))
 
     def plain() -> str:
-        word = "".join(r.choice("aeioulnrstdmh") for _ in range(r.randint(2, 9)))
+        word = "".join(r.choice("aeioulnrstdmh") for _ in range(r.randint(2, 9) if r.random() < 0.9 else r.randint(10, 28)))
+        if r.random() < 0.04:
+            word += r.choice(["-", "/", "_", "McA", "://www."]) + word
         return (word.capitalize() if r.random() < 0.1 else word) + r.choice(["", "", "", "", ",", "."])
 
     def close(word: str) -> str:
@@ -141,6 +149,9 @@ def labelled(seed: int = 7, rows: int = 260) -> list[tuple[list[str], list[str]]
     def secret() -> list[tuple[str, str]]:
         n, kind = r.choice([20, 24, 32, 40, 64]), r.random()
         signs = "0123456789abcdef" if kind < 0.5 else "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if kind < 0.8 else "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        if r.random() < 0.15:  # letters alone, behind a word that says so
+            value = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+            return [*((w, "O") for w in r.choice([["token", "="], ["key:"], ["password", "="], ["secret:"], ["api_key", "="]])), (close(value), "B-secret")]
         value = "a1" + "".join(r.choice(signs) for _ in range(n - 2))
         value = r.choice(["", "", "AKIA", "sk-", "ghp_"]) + value if kind >= 0.5 else value
         lead = r.choice([[], ["token", "="], ["key:"], ["password", "="], ["secret:"], ["api_key", "="]])
@@ -175,43 +186,140 @@ def model() -> Crf:
     return train([_features(w) for w, _ in rows], [t for _, t in rows], tags)
 
 
+class Scores:
+    """The field's scores of words by themselves and as neighbours: a row for each set of features, remembered by word."""
+
+    def __init__(self, crf: Crf) -> None:
+        self.crf = crf
+        #: features that any of the three sums knows
+        self.names = {f.removeprefix("-1:").removeprefix("+1:") for f in crf.index}
+        self.known: dict[bytes, int] = {}
+        n = len(crf.labels)
+        edge = crf.emissions([["-1:edge"], ["+1:edge"]])
+        #: own scores, those given to the next word, and those given to the one before; row 0 is the edge
+        self.rows = np.stack([np.zeros((1, n)), edge[:1], edge[1:]], axis=1)
+        self.row_of: dict[tuple[str, ...], int] = {}
+        row = self._row(b"word")
+        plain = self.rows[row].sum(axis=0)  # as most words are, among their like
+        self.potential = potentials(crf, plain[0] - plain)
+
+    def _row(self, word: bytes) -> int:
+        names = tuple(f for f in _own(word.decode()) if f in self.names)
+        row = self.row_of.get(names)
+        if row is None:
+            row = self.row_of[names] = len(self.rows)
+            sums = [self.crf.emissions([[lead + f for f in names]]) for lead in ("", "-1:", "+1:")]
+            self.rows = np.concatenate([self.rows, np.stack(sums, axis=1)])
+        return row
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known = self.known
+        for word in words:
+            if word not in known:
+                known[word] = self._row(word)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def of(self, words: pa.BinaryArray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Words x labels; first and last mark the words at the ends of texts."""
+        every, which = distinct(words)
+        at = self.places(every)[which]
+        before, after = np.concatenate([[0], at[:-1]]), np.concatenate([at[1:], [0]])
+        before[first], after[last] = 0, 0
+        return self.rows[at, 0] + self.rows[before, 1] + self.rows[after, 2]
+
+
+def potentials(crf: Crf, gap: np.ndarray) -> np.ndarray:
+    """Of each label, the best that a run of words with scores ``gap`` below label 0 can gain up to it; zeros if runs can gain without end."""
+    n = len(crf.labels)
+    for slack in (0.5, 0.25, 0.1, 0.05, 0.0):
+        gain = crf.moves - crf.moves[0, 0] - gap + slack * gap.clip(0)
+        best = np.append(0.0, gain[0, 1:])
+        for _ in range(n + 1):
+            now = np.append(0.0, np.maximum(best[1:], (best[1:, None] + gain[1:, 1:]).max(axis=0)))
+            if np.allclose(now, best):
+                return now
+            best = now
+    return np.zeros(n)
+
+
+def open_words(score: np.ndarray, first: np.ndarray, last: np.ndarray, crf: Crf, potential: np.ndarray) -> np.ndarray:
+    """Which words may have another label than 0 on the best path; first and last mark the ends of texts.
+
+    A run of other labels gains, over labels 0 throughout, at most the sum over its words of the best score and
+    move into any label, and the best move out.  Potentials shift parts of moves from a label's way in to its way
+    out, which changes no run's sum.  A word is settled if no run that it is part of gains by this bound.
+    """
+    shift = crf.moves - crf.moves[0, 0] + potential[:, None] - potential
+    lead = score[:, 1:] - score[:, :1]
+    most = (lead + shift[:, 1:].max(axis=0)).max(axis=1)
+    most[first] = (lead[first] + (crf.first - crf.first[0] - potential)[1:]).max(axis=1)
+    out = shift[1:, 0].max()
+    most[last] += max(0.0, potential[1:].max() - out)  # no move leads out of a text's last word
+    total = np.concatenate([[0.0], np.cumsum(most)])
+    apart = (1.0 + np.abs(most).sum()) * np.cumsum(first)
+    low = np.minimum.accumulate(total[:-1] - apart) + apart
+    high = np.maximum.accumulate((total[1:] - apart)[::-1])[::-1] + apart
+    return high - low + out >= -1e-3
+
+
+def paths(score: np.ndarray, first: np.ndarray, last: np.ndarray, crf: Crf, potential: np.ndarray) -> np.ndarray:
+    """Best label of each word of all texts."""
+    path = np.zeros(len(score), np.int64)
+    at = np.flatnonzero(open_words(score, first, last, crf, potential)) if len(score) else path
+    if not len(at):
+        return path
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | first[at[1:]]]))
+    parts = []
+    for a, b in zip(at[new].tolist(), (at[np.append(new[1:], len(at)) - 1] + 1).tolist(), strict=True):
+        part = score[a:b].copy()
+        part[0] += crf.first if first[a] else crf.moves[0]
+        if not last[b - 1]:
+            part[-1] += crf.moves[:, 0]
+        parts.append((a, b, part))
+    for (a, b, _), best in zip(parts, viterbi([p for _, _, p in parts], crf.moves, np.zeros(len(crf.labels))), strict=True):
+        path[a:b] = best
+    return path
+
+
+@lru_cache(maxsize=2)
+def _scores(crf: Crf) -> Scores:
+    return Scores(crf)
+
+
 def added_spans(texts: list[str], crf: Crf) -> list[list[Span]]:
     """What the field finds in each text."""
-    sequences, owners = [], []
-    for k, text in enumerate(texts):
-        if _MARK.search(text) is None:
-            continue
-        words = [m.span() for m in _WORD.finditer(text)]
-        marked = [i for i, (a, b) in enumerate(words) if _MARK.search(text, a, b)]
-        at = 0
-        while at < len(marked):  # neighbourhoods that touch are one sequence
-            low, to = max(0, marked[at] - CONTEXT), marked[at] + CONTEXT + 1
-            while at + 1 < len(marked) and marked[at + 1] - CONTEXT <= to:
-                at += 1
-                to = marked[at] + CONTEXT + 1
-            at += 1
-            part = words[low : min(to, len(words))]
-            sequences.append(_features([text[a:b] for a, b in part]))
-            owners.append((k, part))
     out: list[list[Span]] = [[] for _ in texts]
-    for (k, part), path in zip(owners, crf.decode(sequences), strict=True):
-        if not path.any():
-            continue
-        text, i = texts[k], 0
-        while i < len(part):
-            tag = crf.labels[path[i]]
-            j = i + 1
-            if tag != "O":
-                while j < len(part) and crf.labels[path[j]] == "I-" + tag[2:]:
-                    j += 1
-                a, b = part[i][0], part[j - 1][1]
-                while a < b and text[a] in "\"'[{<*#$%&|":
-                    a += 1
-                while b > a and text[b - 1] in "\"'.,;:!?]}>*#$%&|":
-                    b -= 1
-                if a < b:
-                    out[k].append((tag[2:], a, b))
-            i = j
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    inside = ~np.isin(points, _SPACES)
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    if not len(begin):
+        return out
+    text_offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+    number = np.searchsorted(text_offs, begin, side="right") - 1
+    first, last = np.ones(len(begin), bool), np.ones(len(begin), bool)
+    first[1:] = last[:-1] = number[1:] != number[:-1]
+    scores = _scores(crf)
+    path = paths(scores.of(word_array(points, inside, starts), first, last), first, last, crf, scores.potential)
+    i, found = 0, np.flatnonzero(path)
+    while i < len(found):
+        w, kind = found[i], crf.labels[path[found[i]]][2:]
+        i += 1
+        v = w + 1
+        while i < len(found) and found[i] == v and not first[v] and crf.labels[path[v]] == "I-" + kind:
+            i, v = i + 1, v + 1
+        k = int(number[w])
+        text, a, b = texts[k], int(begin[w] - text_offs[k]), int(end[v - 1] - text_offs[k])
+        while a < b and text[a] in "\"'[{<*#$%&|":
+            a += 1
+        while b > a and text[b - 1] in "\"'.,;:!?]}>*#$%&|":
+            b -= 1
+        if a < b:
+            out[k].append((kind, a, b))
     return out
 
 

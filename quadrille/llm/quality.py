@@ -5,10 +5,12 @@ capitals and digits collapsed, other signs kept, ``=`` for a word that repeats t
 of all.  The score is the logistic function of a sparse dot product with the weights.
 
 Training takes at most SLOTS labelled documents of each label outside the held-out fold, spread by hash;
-it reads whole texts, as scoring does.
+it reads whole texts, as scoring does, on the executors: the driver gets at most 2 ** BITS shares of each.
 
-Defined results: null, empty and wordless texts score by the intercept alone; documents with several
-labels teach each; with no labels every score is 0.5; repeated rows repeat; other columns are ignored.
+Defined results: null, empty and wordless texts score by the intercept alone; very long texts are read
+whole; documents with several labels teach each; of rows that repeat a labelled doc_id, the one with the
+first text in order teaches; with no labels every score is 0.5; a score at the threshold predicts 1;
+repeated rows repeat; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import textops as X
-from quadrille.llm.common import fold, map_rows, slot_sample, table
+from quadrille.llm.common import fold, map_rows, offsets_of, slot_sample, table
 
 BITS = 18
 SLOTS, EPOCHS = 1536, 4
@@ -59,15 +61,20 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1), 4 * word_offs
 
 
-def train(texts: list[str | None], labels: list[int]) -> np.ndarray:
-    """Weights by feature; the last is the intercept."""
+def shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's features and their shares of SCALE; the last is the intercept."""
+    flat, offs = features(texts)
+    out = []
+    for a, b in zip(offs[:-1], offs[1:], strict=True):
+        at, count = np.unique(flat[a:b], return_counts=True)
+        out.append((np.append(at.astype(np.int64), 1 << BITS), np.append(count * (SCALE / max(b - a, 1)), 1.0)))
+    return out
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
+    """Weights by feature, the last the intercept, from texts' shares and labels."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     weights = np.zeros_like(z)
-    rows = []
-    for text in texts:
-        flat, _ = features(pa.array([text], pa.string()))
-        at, count = np.unique(flat, return_counts=True)
-        rows.append((np.append(at.astype(np.int64), 1 << BITS), np.append(count * (SCALE / max(len(flat), 1)), 1.0)))
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             at, x = rows[k]
@@ -89,9 +96,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     by_id: dict[int, list[int]] = {}
     for row in chosen:
         by_id.setdefault(row.doc_id, []).append(row.label)
-    found = docs.where(F.col("doc_id").isin(list(by_id))).select("doc_id", "text").collect() if by_id else []
-    pairs = sorted((r.doc_id, r.text or "", label) for r in found for label in sorted(by_id[r.doc_id]))
-    return train([p[1] for p in pairs], [p[2] for p in pairs])
+    if not by_id:
+        return train([], [])
+    taken = docs.where(F.col("doc_id").isin(list(by_id))).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = shares(batch.column("text"))
+        lists = [pa.ListArray.from_arrays(offsets_of([len(f[k]) for f in found]), pa.array(np.concatenate([f[k] for f in found]))) for k in (0, 1)]
+        return pa.record_batch([batch.column("doc_id"), *lists], names=["doc_id", "at", "share"])
+
+    found = sorted(map_rows(taken, "text", run, "doc_id bigint, at array<bigint>, share array<double>").collect(), key=lambda r: r.doc_id)
+    pairs = [((np.array(r.at), np.array(r.share)), label) for r in found for label in sorted(by_id[r.doc_id])]
+    return train([p[0] for p in pairs], [p[1] for p in pairs])
 
 
 def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:

@@ -1,24 +1,31 @@
-"""Operator 4: removal of passages that an earlier document has.
+"""Operator 4: removal of passages that an earlier document has, by suffix automata of reference shards.
 
-Two forms share their result.  ``against_reference`` is the method named: suffix automata of bounded
-reference shards are broadcast, documents stream through them for matching statistics, and maximal
-spans of at least ``window`` words go.  It serves a reference of its own, whose size is checked.
+A reference shard is a bounded number of words in one suffix automaton.  Documents stream through it for
+matching statistics: the longest match that ends at each word; where it is at least a window long, the
+window is one of the reference's, word by word.  Two forms share this.
 
-``repeated`` takes the corpus itself as the reference.  That has no size bound, so its automata can't be
-broadcast, and passing every document by every shard grows with the square of the corpus.  Windows meet
-by their hashes instead: minimisers (a window's smallest hash of 25 consecutive words, the same wherever
-the window stands) find the windows that may occur in two documents; the hashes of these windows give
-the smallest doc_id of each by partial aggregates; no window is compared with another.  Shared minimisers
-are looked up in a bitmap of bounded size; where there are too many for it, a join does the same.
+``against_reference`` takes a reference of its own, whose size is checked, and broadcasts its shards.
+
+``repeated`` takes the corpus itself.  Its reference is what may repeat: windows whose minimiser (their
+smallest hash of 25 consecutive words) is in two documents meet by 128-bit hashes, which name the smallest
+doc_id of each by partial aggregates.  Stretches of such windows in that document are the reference
+passages; they are dealt over shards by hash, and each document's stretches go to the shards of the passages
+they may match.  A shard's automaton is built in the task that needs it, as often as its stretches are
+salted, and decides.  No window is compared with another, and no task holds more than one automaton.
+
+Shared minimisers are looked up in a bitmap of bounded size; where there are too many for it, a join does
+the same.
 
 Defined results: a null or blank text has no words and keeps the empty string; texts shorter than a
-window keep everything; repeated rows of one doc_id never remove each other; an empty table gives no
-rows; other columns are ignored.
+window keep everything; very long texts are read whole; repeated rows of one doc_id never remove each
+other, and where such rows differ, each loses its own windows; an empty table gives no rows; ties can't
+arise; other columns are ignored by ``report`` and kept by ``remove``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,16 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import textops as X
 from quadrille.llm.automaton import SuffixAutomaton
-from quadrille.llm.common import MOST_BITS, bitmap, cut, in_bitmap, map_rows, screened, table
+from quadrille.llm.common import HOT_KEYS, MOST_BITS, bitmap, cut, give_back, in_bitmap, keyed_join, map_rows, offsets_of, screened, table, unused
 
 #: Words of a window.
 WINDOW = 50
-#: Bytes of reference text in one broadcast automaton.
+#: Bytes of reference text in one automaton that is broadcast.
 SHARD_BYTES = 4 << 20
+#: Windows of reference passages in one automaton that a task builds, and of stretches that one such automaton reads, about.
+SHARD_WINDOWS, SALT_WINDOWS = 1 << 16, 1 << 20
+#: Passages are dealt over shards in pieces of this many windows, so that a long one doesn't make a long shard.
+CHUNK = 1 << 12
 
 REPORT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -40,7 +51,7 @@ REPORT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 def _read(texts: pa.Array):
     data, offs = X.buffers(texts)
     starts, ends, word_offs = X.words(data, offs, X.NONSPACE)
-    return data, starts, ends, word_offs, X.totals(X.word_hashes(data, starts, ends))
+    return data, starts, ends, word_offs, X.word_hashes(data, starts, ends)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,15 +64,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _minimisers(total: np.ndarray, word_offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _minimisers(hashes: np.ndarray, word_offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows in document order: first word, minimiser; and each document's first window."""
     k = (window + 1) // 2
     first, run_offs = X.starts_of_runs(word_offs, window)
     if not len(first):
         return first, np.zeros(0, np.uint64), run_offs
-    at = np.arange(len(total) - k)
-    low = _sliding_min(X.run_hashes(total, at, at + k), window - k + 1)
-    return first, low[first], run_offs
+    return first, _sliding_min(X.run_hashes(hashes, k), window - k + 1)[first], run_offs
 
 
 def _listed(doc_ids: pa.Array, values: np.ndarray, docs: np.ndarray, name: str) -> pa.RecordBatch:
@@ -88,55 +97,134 @@ def _grouped_isin(values: np.ndarray, docs: np.ndarray, wanted: pa.ListArray) ->
     return out
 
 
-def _lists(rows: DataFrame, value: str) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_set(value).alias("wanted"))
-
-
-def repeated(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS // 8) -> DataFrame:
-    """(doc_id, wanted): hashes of the document's windows that also start in a document with a smaller doc_id."""
-    docs = docs.select("doc_id", "text")
+def candidates(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS // 8) -> DataFrame:
+    """(doc_id, row, run, h1, h2, said): runs of windows that may start in two documents, from word number run: their hashes, and all their words."""
 
     def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, word_offs, total = _read(batch.column("text"))
-        _, low, run_offs = _minimisers(total, word_offs, window)
+        _, _, _, word_offs, hashes = _read(batch.column("text"))
+        _, low, run_offs = _minimisers(hashes, word_offs, window)
         number = np.repeat(np.arange(batch.num_rows), np.diff(run_offs))
         return _listed(batch.column("doc_id"), *_distinct(low, number), "mark")
 
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, word_offs, total = _read(batch.column("text"))
-        first, low, run_offs = _minimisers(total, word_offs, window)
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        data, starts, ends, word_offs, hashes = _read(batch.column("text"))
+        first, low, run_offs = _minimisers(hashes, word_offs, window)
         number = np.repeat(np.arange(batch.num_rows), np.diff(run_offs))
-        some = np.flatnonzero(in_bitmap(low, held.value) if held else _grouped_isin(low, number, batch.column("wanted")))
-        return _listed(batch.column("doc_id"), *_distinct(X.run_hashes(total, first[some], first[some] + window), number[some]), "hash")
-
+        some = np.flatnonzero(in_bitmap(low, held.value) if held else _grouped_isin(low, number, batch.column("marks")))
+        if not len(some):
+            return None
+        one, two = X.run_hashes(hashes, window), X.run_hashes(X.mix(hashes ^ X.U64(0x5851F42D4C957F2D)), window)
+        at, doc = first[some], number[some]
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(doc) != 0)]))
+        counts = np.diff(np.append(begin, len(at)))
+        said = [b" ".join(X.spelled(data, starts[a : a + n + window - 1], ends[a : a + n + window - 1])) for a, n in zip(at[begin].tolist(), counts.tolist(), strict=True)]
+        ids, offs = batch.select(["doc_id", "row"]).take(pa.array(doc[begin])), offsets_of(counts)
+        lists = [pa.ListArray.from_arrays(offs, pa.array(x[at].view(np.int64))) for x in (one, two)]
+        return pa.record_batch([*ids.columns, pa.array(at[begin] - word_offs[doc[begin]]), *lists, pa.array(said, pa.binary())], names=["doc_id", "row", "run", "h1", "h2", "said"])
+
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     marked = map_rows(docs, "text", marks, "doc_id bigint, mark bigint")
-    shared = cut(marked.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark"))
+    shared = cut(marked.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high").select("mark", "c"))
     count = shared.count()
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(shared, count)) if count <= most_marks else None
-    asked = docs if held else docs.join(_lists(marked.join(shared, "mark"), "mark"), "doc_id")
-    found = cut(map_rows(asked, "text", windows, "doc_id bigint, hash bigint"))
-    first = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
-    return _lists(found.join(first, "hash").where("low < doc_id"), "hash")
-
-
-def _cover(first: np.ndarray, hit: np.ndarray, window: int, n_words: int) -> np.ndarray:
-    """Mask of the words that the hit windows cover."""
-    change = np.zeros(n_words + window + 1, np.int64)
-    np.add.at(change, first[hit], 1)
-    np.add.at(change, first[hit] + window, -1)
-    return np.cumsum(change)[:n_words] > 0
-
-
-def removed_words(texts: pa.Array, wanted: pa.ListArray, window: int = WINDOW):
-    """Mask over the words of all texts, and the words' places."""
-    data, starts, ends, word_offs, total = _read(texts)
-    first, run_offs = X.starts_of_runs(word_offs, window)
-    number = np.repeat(np.arange(len(texts)), np.diff(run_offs))
-    some = np.flatnonzero(np.isin(number, [k for k in range(len(wanted)) if wanted[k].is_valid])) if wanted.null_count < len(wanted) else np.zeros(0, np.int64)
-    hit = np.zeros(len(first), bool)
-    if len(some):
-        hit[some] = _grouped_isin(X.run_hashes(total, first[some], first[some] + window), number[some], wanted)
-    return _cover(first, hit, window, len(starts)), (data, starts, ends, word_offs)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(shared.select("mark"), count)) if count <= most_marks else None
+    asked = docs
+    if not held:
+        lists = keyed_join(marked, shared, ["mark"], "c", ready=True).groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+        asked = docs.join(lists, "doc_id")
+    return map_rows(asked.withColumn("row", F.xxhash64("text")), "text", windows, "doc_id bigint, row bigint, run bigint, h1 array<bigint>, h2 array<bigint>, said binary")
+
+
+def repeated(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS // 8, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+    """(doc_id, row, gone): first words of windows that also start in a document with a smaller doc_id; row is the text's hash."""
+    found = cut(candidates(docs, window, most_marks))
+    each = found.select("doc_id", "row", "run", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).selectExpr("doc_id", "row", "run", "run + at AS at", "h.h1", "h.h2")
+    first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "at")).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
+    first = cut(first.where("low.doc_id < high").select("h1", "h2", "low", "c"))
+    count = max(1, -(-first.count() // shard_windows))
+    hit = keyed_join(each, first, ["h1", "h2"], "c", ready=True).withColumn("own", F.expr("low = struct(doc_id, row, at)")).where("own or low.doc_id < doc_id")
+    hit = cut(hit.select("doc_id", "row", "run", "at", "own", F.expr(f"pmod(xxhash64(low.doc_id, low.row, low.at div {CHUNK}), {count})").alias("shard")))
+    # A row for each of the heaviest automata only; any other has less than a HOT_KEYS-th of all windows to read.
+    loads = hit.where("not own").groupBy("shard").count().where(F.col("count") > SALT_WINDOWS).orderBy(F.desc("count"), "shard").limit(HOT_KEYS).collect()
+    salts = docs.sparkSession.sparkContext.broadcast({r.shard: 1 + r["count"] // SALT_WINDOWS for r in loads})
+    per = hit.groupBy("doc_id", "row", "run").agg(F.array_sort(F.collect_set(F.struct("shard", "own", "at"))).alias("hits"))
+    pieces = map_rows(found.drop("h1", "h2").join(per, ["doc_id", "row", "run"]), "said", lambda batch: _pieces(batch, window, salts.value), "shard bigint, salt bigint, own boolean, doc_id bigint, row bigint, at bigint, said binary")
+    dealt = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.desc("own"), "doc_id", "row", "at")
+    gone = dealt.mapInArrow(lambda batches: _decided(batches, window), "doc_id bigint, row bigint, at bigint")
+    return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
+
+
+def _pieces(batch: pa.RecordBatch, window: int, salts: dict[int, int]) -> pa.RecordBatch:
+    """Passages (own) and stretches of runs, cut where the shard changes; passages go to every salt of their shard."""
+    out: list[tuple] = []
+    for row in batch.to_pylist():
+        said, hits, i = row["said"].split(b" "), row["hits"], 0
+        while i < len(hits):
+            shard, own, at = hits[i]["shard"], hits[i]["own"], hits[i]["at"]
+            n = 1
+            while i + n < len(hits) and (hits[i + n]["shard"], hits[i + n]["own"], hits[i + n]["at"]) == (shard, own, at + n):
+                n += 1
+            i += n
+            text = b" ".join(said[at - row["run"] : at - row["run"] + n + window - 1])
+            many = salts.get(shard, 1)
+            for salt in range(many) if own else [hash((row["doc_id"], row["row"])) % many]:
+                out.append((shard, salt, own, row["doc_id"], row["row"], at, text))
+    columns = zip(*out, strict=True) if out else [()] * 7
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "salt", "own", "doc_id", "row", "at", "said"])
+
+
+class Reference:
+    """The automaton of some passages, and the document of each of their windows."""
+
+    def __init__(self, passages: list[tuple[int, bytes]], window: int) -> None:
+        self.window, self.auto, self.symbols = window, SuffixAutomaton(), {}
+        states = [(doc, self.auto.add([self.symbols.setdefault(w, len(self.symbols)) for w in said.split(b" ")])) for doc, said in passages]
+        #: state of a window -> doc_id
+        self.owner: dict[int, int] = {}
+        for doc, each in states:  # only now do all states exist
+            for state in each[window - 1 :]:
+                self.owner[self.auto.holder(state, window)] = doc
+
+    def starts(self, said: bytes, doc: int) -> list[int]:
+        """First words of the windows that stand in a passage of a document with a smaller doc_id."""
+        symbols, out = self.symbols, []
+        for i, (state, length) in enumerate(self.auto.stream([symbols.get(w, -1) for w in said.split(b" ")])):
+            if length >= self.window and self.owner.get(self.auto.holder(state, self.window), doc) < doc:
+                out.append(i + 1 - self.window)
+        return out
+
+
+def _decided(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one shard and salt after another, passages first: one automaton at a time."""
+    key, passages, reference = None, [], None
+    for batch in batches:
+        docs, rows, ats = [], [], []
+        for shard, salt, own, doc, row, at, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (shard, salt) != key:
+                key, passages, reference = (shard, salt), [], None
+            if own:
+                passages.append((doc, said))
+                continue
+            if reference is None:
+                reference = Reference(passages, window)
+            found = reference.starts(said, doc)
+            docs += [doc] * len(found)
+            rows += [row] * len(found)
+            ats += [at + k for k in found]
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in (docs, rows, ats)], names=["doc_id", "row", "at"])
+    give_back()
+
+
+def removed_words(texts: pa.Array, gone: pa.ListArray, window: int = WINDOW):
+    """Mask over the words of all texts, and the words' places; gone has the first words of the windows that go."""
+    data, offs = X.buffers(texts)
+    starts, ends, word_offs = X.words(data, offs, X.NONSPACE)
+    at = [word_offs[k] + gone[k].values.to_numpy() for k in range(len(gone)) if gone[k].is_valid]
+    change = np.zeros(len(starts) + window + 1, np.int64)
+    if at:
+        np.add.at(change, np.concatenate(at), 1)
+        np.add.at(change, np.concatenate(at) + window, -1)
+    return np.cumsum(change)[: len(starts)] > 0, (data, starts, ends, word_offs)
 
 
 def kept_texts(mask: np.ndarray, places) -> list[bytes]:
@@ -151,18 +239,20 @@ def kept_texts(mask: np.ndarray, places) -> list[bytes]:
     return [b" ".join(raw[begin[a] : ends[b - 1]].split()) if b > a else b"" for a, b in zip(word_offs[:-1], word_offs[1:], strict=True)]
 
 
-def _with_wanted(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` and each one's list of repeated windows; only those that may have one are shuffled."""
-    wanted = cut(repeated(docs, window))
-    some, rest = screened(docs, wanted, wanted.count())
-    return some.join(wanted, "doc_id", "left").select(*docs.columns, "wanted").union(rest.withColumn("wanted", F.lit(None).cast("array<bigint>")))
+def _with_gone(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """``docs`` with a column of each one's windows that go, and its name; only rows that may have one are shuffled."""
+    name, row = unused(docs, "gone"), unused(docs, "row")
+    gone = cut(repeated(docs, window).select("doc_id", F.col("row").alias(row), F.col("gone").alias(name)))
+    some, rest = screened(docs, gone, gone.count())
+    joined = some.withColumn(row, F.xxhash64("text")).join(gone, ["doc_id", row], "left").select(*docs.columns, name)
+    return joined.union(rest.withColumn(name, F.lit(None).cast("array<bigint>"))), name
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, removed words, and the SHA-256 of what stays."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mask, places = removed_words(batch.column("text"), batch.column("wanted"), window)
+        mask, places = removed_words(batch.column("text"), batch.column(name), window)
         word_offs = places[3]
         total = np.concatenate([[0], np.cumsum(mask)])
         return pa.record_batch(
@@ -170,18 +260,20 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    return map_rows(_with_wanted(docs.select("doc_id", "text"), window), "text", run, REPORT)
+    marked, name = _with_gone(docs.select("doc_id", "text"), window)
+    return map_rows(marked, "text", run, REPORT)
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with the kept words of each text, joined by one space."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mask, places = removed_words(batch.column("text"), batch.column("wanted"), window)
+        mask, places = removed_words(batch.column("text"), batch.column(name), window)
         texts = pa.array([x.decode() for x in kept_texts(mask, places)], batch.schema.field("text").type)
-        return batch.set_column(batch.schema.get_field_index("text"), "text", texts).drop_columns(["wanted"])
+        return batch.set_column(batch.schema.get_field_index("text"), "text", texts).drop_columns([name])
 
-    return map_rows(_with_wanted(docs, window), "text", run, docs.schema)
+    marked, name = _with_gone(docs, window)
+    return map_rows(marked, "text", run, docs.schema)
 
 
 def against_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, most_bytes: int = 64 << 20) -> DataFrame:

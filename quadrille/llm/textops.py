@@ -2,11 +2,13 @@
 
 Every kernel works on one concatenated byte buffer with document offsets, so the
 cost per document is a few vector operations rather than a Python loop over words.
-Nulls are empty texts.  Hashes are 64 bits wide and do not depend on the process.
+Nulls are empty texts.  Hashes are 64 bits wide and do not depend on the process; they only propose what
+may be equal where a result depends on equality (operators 2 and 4 compare the words themselves).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,28 +39,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-
-
-class _Powers:
-    """Powers of an odd base modulo 2**64 and their inverses, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                factors = np.full(size, base, U64)
-                factors[0] = 1
-                setattr(self, name, np.multiply.accumulate(factors))
-        return self.up[:n], self.down[:n]
-
-
-_CHARS, _WORDS = _Powers(_BASE), _Powers(0x9FB21C651E98DF25)
+#: Longest word that is hashed as rows of an array.
+_LONG = 256
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -105,25 +87,65 @@ def words(data: np.ndarray, offs: np.ndarray, lut: np.ndarray) -> tuple[np.ndarr
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = _CHARS.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_TABLE[data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
-
-
-def totals(hashes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which :func:`run_hashes` takes the hash of any run of words."""
-    up, _ = _WORDS.to(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return total
-
-
-def run_hashes(total: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the word runs first..end (exclusive); equal runs are equal wherever they stand."""
-    _, down = _WORDS.to(len(total))
-    return mix((total[end] - total[first]) * down[first] + (end - first).astype(U64) * U64(0x9E3779B97F4A7C15))
+    """A 64-bit hash of each word's bytes: eight at a time through ``mix``; long words by BLAKE2.
+
+    Every step mixes all bits, so no pattern of bytes makes words meet (sums of powers have such patterns).
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x632BE59BD9B4E019))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live, at, left = np.flatnonzero((size > 0) & (size <= _LONG)), starts, size
+    if len(live) < len(size):
+        at, left = starts[live], size[live]
+    while len(live):
+        chunk = eight[at]
+        short = left < 8
+        chunk[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+        out[live] = mix(out[live] ^ chunk)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix((left ^ (left >> U64(31))) * U64(0xD6E8FEB86659FD93) + right)
+
+
+def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words from each word that has k - 1 after it; equal runs are equal wherever they stand.
+
+    Runs of 1, 2, 4, ... words are joined, in log2(k) passes.
+    """
+    count = len(hashes) - k + 1
+    if count <= 0:
+        return np.zeros(0, U64)
+    out, have, power, size = None, 0, hashes, 1
+    while True:
+        if k & size:
+            part = power[have : have + count]
+            out = part if out is None else _joined(out[:count], part)
+            have += size
+        if have == k:
+            return out[:count]
+        power = _joined(power[:-size], power[size:])
+        size *= 2
+
+
+def sequence_hash(hashes: np.ndarray) -> int:
+    """A 64-bit hash of all of the words together, of any number."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little")
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The words' bytes."""
+    if not len(starts):
+        return []
+    low = int(starts[0])
+    raw = data[low : int(ends[-1])].tobytes()
+    return [raw[a:b] for a, b in zip((starts - low).tolist(), (ends - low).tolist(), strict=True)]
 
 
 def starts_of_runs(word_offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,3 +154,20 @@ def starts_of_runs(word_offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     run_offs = np.concatenate([[0], np.cumsum(counts)])
     first = np.arange(run_offs[-1]) + np.repeat(word_offs[:-1] - run_offs[:-1], counts)
     return first, run_offs
+
+
+def word_array(points: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """The words, as UTF-8, of text given as code points: those marked inside, cut at the marked starts."""
+    some, at = points[inside], np.flatnonzero(starts)
+    ends = np.cumsum(1 + (some >= 0x80) + (some >= 0x800) + (some >= 0x10000).astype(np.int64))
+    raw = some.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    offs = np.concatenate([[0], ends])[np.append((np.cumsum(inside) - inside)[at], len(some))].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(raw)])
+
+
+def distinct(words: pa.BinaryArray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, and each word's place among them."""
+    coded = words.dictionary_encode()
+    _, offs, data = coded.dictionary.buffers()
+    raw, offs = data.to_pybytes() if data is not None else b"", np.frombuffer(offs, np.int32).tolist()
+    return [raw[a:b] for a, b in zip(offs, offs[1 : len(coded.dictionary) + 1], strict=False)], coded.indices.to_numpy()
