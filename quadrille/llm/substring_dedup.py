@@ -138,15 +138,15 @@ def repeated(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS
     """(doc_id, row, gone): first words of windows that also start in a document with a smaller doc_id; row is the text's hash."""
     found = cut(candidates(docs, window, most_marks))
     each = found.select("doc_id", "row", "run", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).selectExpr("doc_id", "row", "run", "run + at AS at", "h.h1", "h.h2")
-    first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "at")).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"))
-    first = cut(first.where("low.doc_id < high").select("h1", "h2", "low", "c"))
+    first = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("place"), F.count("*").alias("c"))
+    first = cut(first.where("low < high").select("h1", "h2", "low", "place", "c"))
     count = max(1, -(-first.count() // shard_windows))
-    hit = keyed_join(each, first, ["h1", "h2"], "c", ready=True).withColumn("own", F.expr("low = struct(doc_id, row, at)")).where("own or low.doc_id < doc_id")
-    hit = cut(hit.select("doc_id", "row", "run", "at", "own", F.expr(f"pmod(xxhash64(low.doc_id, low.row, low.at div {CHUNK}), {count})").alias("shard")))
+    hit = keyed_join(each, first, ["h1", "h2"], "c", ready=True).withColumn("own", F.expr("doc_id = low"))
+    hit = cut(hit.select("doc_id", "row", "run", "at", "own", F.expr(f"pmod(xxhash64(low, place div {CHUNK}), {count})").alias("shard")))
     # A row for each of the heaviest automata only; any other has less than a HOT_KEYS-th of all windows to read.
     loads = hit.where("not own").groupBy("shard").count().where(F.col("count") > SALT_WINDOWS).orderBy(F.desc("count"), "shard").limit(HOT_KEYS).collect()
     salts = docs.sparkSession.sparkContext.broadcast({r.shard: 1 + r["count"] // SALT_WINDOWS for r in loads})
-    per = hit.groupBy("doc_id", "row", "run").agg(F.array_sort(F.collect_set(F.struct("shard", "own", "at"))).alias("hits"))
+    per = hit.groupBy("doc_id", "row", "run").agg(F.sort_array(F.collect_list(F.struct("shard", "own", "at"))).alias("hits"))
     pieces = map_rows(found.drop("h1", "h2").join(per, ["doc_id", "row", "run"]), "said", lambda batch: _pieces(batch, window, salts.value), "shard bigint, salt bigint, own boolean, doc_id bigint, row bigint, at bigint, said binary")
     dealt = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.desc("own"), "doc_id", "row", "at")
     gone = dealt.mapInArrow(lambda batches: _decided(batches, window), "doc_id bigint, row bigint, at bigint")
@@ -156,18 +156,25 @@ def repeated(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS
 def _pieces(batch: pa.RecordBatch, window: int, salts: dict[int, int]) -> pa.RecordBatch:
     """Passages (own) and stretches of runs, cut where the shard changes; passages go to every salt of their shard."""
     out: list[tuple] = []
-    for row in batch.to_pylist():
-        said, hits, i = row["said"].split(b" "), row["hits"], 0
-        while i < len(hits):
-            shard, own, at = hits[i]["shard"], hits[i]["own"], hits[i]["at"]
-            n = 1
-            while i + n < len(hits) and (hits[i + n]["shard"], hits[i + n]["own"], hits[i + n]["at"]) == (shard, own, at + n):
-                n += 1
-            i += n
-            text = b" ".join(said[at - row["run"] : at - row["run"] + n + window - 1])
-            many = salts.get(shard, 1)
-            for salt in range(many) if own else [hash((row["doc_id"], row["row"])) % many]:
-                out.append((shard, salt, own, row["doc_id"], row["row"], at, text))
+    hits, offs = batch.column("hits"), batch.column("hits").offsets.to_numpy()
+    shard, own, at = (f.to_numpy(zero_copy_only=False) for f in hits.values.flatten())
+    number = np.repeat(np.arange(len(hits)), np.diff(offs))
+    shard, own, at = (x[offs[0] : offs[-1]] for x in (shard, own, at))
+    same = np.zeros(len(at), bool)
+    same[1:] = (number[1:] == number[:-1]) & (shard[1:] == shard[:-1]) & (own[1:] == own[:-1])
+    new = ~same
+    new[1:] |= at[1:] > at[:-1] + 1  # a repeated row's hits come twice
+    begin = np.flatnonzero(new)
+    last = at[np.append(begin[1:], len(at)) - 1]
+    ids, rows, runs, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row", "run", "said"))
+    said, split = -1, []
+    for k, s, o, a, z in zip(number[begin].tolist(), shard[begin].tolist(), own[begin].tolist(), at[begin].tolist(), last.tolist(), strict=True):
+        if k != said:
+            said, split = k, texts[k].split(b" ")
+        text = b" ".join(split[a - runs[k] : z - runs[k] + window])
+        many = salts.get(s, 1)
+        for salt in range(many) if o else [hash((ids[k], rows[k])) % many]:
+            out.append((s, salt, o, ids[k], rows[k], a, text))
     columns = zip(*out, strict=True) if out else [()] * 7
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "salt", "own", "doc_id", "row", "at", "said"])
