@@ -424,7 +424,7 @@ def q_tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("set_id", "tile", "parent", "depth", "refine", "content_uri", "volume.center[0] AS x", "volume.center[1] AS y", "volume.radius AS radius", "world_from_tile[12] AS moved")
 
 
-_GRAFTED = '{"asset": {"version": "1.1"}, "geometricError": 2, "root": {"geometricError": 2, "boundingVolume": {"sphere": [1, 2, 0, 3]}, "children": [{"geometricError": 0, "content": {"uri": "x.glb"}}]}}'
+_EXTERNAL = '{"asset": {"version": "1.1"}, "geometricError": 2, "root": {"geometricError": 2, "boundingVolume": {"sphere": [1, 2, 0, 3]}, "children": [{"geometricError": 0, "content": {"uri": "x.glb"}}]}}'
 
 
 @_query(f"""WITH {_DOC_TILES}, h AS (SELECT set_id, tile AS host, row_number() OVER (PARTITION BY set_id ORDER BY tile) - 1 AS g, depth, refine, moved, content_uri FROM k WHERE content_uri LIKE 'c/%7.glb'),
@@ -434,7 +434,7 @@ UNION ALL SELECT set_id, size + 2 * g + below, depth + 1 + below, refine, CASE W
 def q_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grafted below other documents' tiles, and what their tiles hang on."""
     nodes = written(tree.build(T.documents(spark, sf_dir)))
-    at = nodes.where("content_uri like 'c/%7.glb'").selectExpr("set_id", "tile AS at", "'local' AS frame", f"parse_json('{_GRAFTED}') AS doc")
+    at = nodes.where("content_uri like 'c/%7.glb'").selectExpr("set_id", "tile AS at", "'local' AS frame", f"parse_json('{_EXTERNAL}') AS doc")
     size = nodes.groupBy("set_id").agg(F.count("*").alias("size"))
     return tree.graft(nodes, at).join(size, "set_id").selectExpr("set_id", "tile", "depth", "refine", "content_uri", "volume.center[0] AS x", "if(tile >= size, parent, null) AS host")
 
