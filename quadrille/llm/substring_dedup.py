@@ -137,17 +137,18 @@ def candidates(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BIT
 def repeated(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS // 8, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """(doc_id, row, gone): first words of windows that also start in a document with a smaller doc_id; row is the text's hash."""
     found = cut(candidates(docs, window, most_marks))
-    each = found.select("doc_id", "row", "run", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).selectExpr("doc_id", "row", "run", "run + at AS at", "h.h1", "h.h2")
+    found = found.withColumn("id", F.xxhash64("doc_id", "row", "run"))  # runs that share one by chance get each other's hits, which the automata refuse
+    each = found.select("doc_id", "id", "run", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).selectExpr("doc_id", "id", "run + at AS at", "h.h1", "h.h2")
     first = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("place"), F.count("*").alias("c"))
     first = cut(first.where("low < high").select("h1", "h2", "low", "place", "c"))
     count = max(1, -(-first.count() // shard_windows))
     hit = keyed_join(each, first, ["h1", "h2"], "c", ready=True).withColumn("own", F.expr("doc_id = low"))
-    hit = cut(hit.select("doc_id", "row", "run", "at", "own", F.expr(f"pmod(xxhash64(low, place div {CHUNK}), {count})").alias("shard")))
+    hit = cut(hit.select("id", "at", "own", F.expr(f"pmod(xxhash64(low, place div {CHUNK}), {count})").alias("shard")))
     # A row for each of the heaviest automata only; any other has less than a HOT_KEYS-th of all windows to read.
     loads = hit.where("not own").groupBy("shard").count().where(F.col("count") > SALT_WINDOWS).orderBy(F.desc("count"), "shard").limit(HOT_KEYS).collect()
     salts = docs.sparkSession.sparkContext.broadcast({r.shard: 1 + r["count"] // SALT_WINDOWS for r in loads})
-    per = hit.groupBy("doc_id", "row", "run").agg(F.sort_array(F.collect_list(F.struct("shard", "own", "at"))).alias("hits"))
-    pieces = map_rows(found.drop("h1", "h2").join(per, ["doc_id", "row", "run"]), "said", lambda batch: _pieces(batch, window, salts.value), "shard bigint, salt bigint, own boolean, doc_id bigint, row bigint, at bigint, said binary")
+    per = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("shard", "own", "at"))).alias("hits"))
+    pieces = map_rows(found.drop("h1", "h2").join(per, "id"), "said", lambda batch: _pieces(batch, window, salts.value), "shard bigint, salt bigint, own boolean, doc_id bigint, row bigint, at bigint, said binary")
     dealt = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.desc("own"), "doc_id", "row", "at")
     gone = dealt.mapInArrow(lambda batches: _decided(batches, window), "doc_id bigint, row bigint, at bigint")
     return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
@@ -171,6 +172,8 @@ def _pieces(batch: pa.RecordBatch, window: int, salts: dict[int, int]) -> pa.Rec
     for k, s, o, a, z in zip(number[begin].tolist(), shard[begin].tolist(), own[begin].tolist(), at[begin].tolist(), last.tolist(), strict=True):
         if k != said:
             said, split = k, texts[k].split(b" ")
+        if a < runs[k] or z - runs[k] + window > len(split):
+            continue  # a hit of another run
         text = b" ".join(split[a - runs[k] : z - runs[k] + window])
         many = salts.get(s, 1)
         for salt in range(many) if o else [hash((ids[k], rows[k])) % many]:
