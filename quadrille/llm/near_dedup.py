@@ -2,11 +2,11 @@
 
 Documents with equal shingle sets form classes first, by partial aggregates.  One representative of
 each class gets a SuperMinHash signature (ranks of one permutation per shingle, stopped once no later
-rank can lower a minimum), whose bands make buckets.  A bucket's members are compared with a leader
-rather than with each other.  Members that aren't known to be connected are grouped by what a link between
-them requires (see ``subgroups``); each group gets a leader of its own, and so on until no group is
-left but small ones, which are compared pair by pair.  A round compares every member of a larger group
-once, so none is expanded into its pairs, and no pair above the threshold that shares a bucket stays apart.  Links are confirmed on full shingle sets, and
+rank can lower a minimum), whose bands make buckets.  Those of at most FEW members are compared pair by pair.  Members of a larger one are
+compared with a leader; buckets of one leader are a group, and members of a group that aren't yet known to be
+connected meet in tiles: a task has two tiles' sets, rules pairs out by a bound (``sketches``), confirms the others and
+emits no more links than it has members.  So no group is expanded into rows for its pairs, and no pair above
+the threshold that shares a bucket stays apart.  Links are confirmed on full shingle sets, and
 components grow by distributed minimum labels with pointer jumping.
 
 With 32 bands of 4 of 128 values a pair at a similarity of 0.8 shares no bucket with a probability
@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import textops as X
@@ -38,10 +38,11 @@ BLOCK = 1 << 14
 _GOLDEN = 0x9E3779B97F4A7C15
 #: Members that are compared with one copy of their leader's set.
 SALT_ROWS = 4096
-#: Groups of at most this many pairs are compared pair by pair, since a leader spares them little.  In later rounds it
-#: is the largest of MOST for which all such groups have at most RAW pairs for each document to look at, of which at most
-#: PAIRS may be linked by what their members add and lack: comparisons stay in proportion to documents.
-FEW, MOST, RAW, PAIRS = 144, (1024, 8192, 65536, 1 << 20), 64, 4
+#: Members of the buckets that are compared pair by pair, since a leader spares them little.
+FEW = 12
+#: Members and shingles (8 bytes each) a tile, and tiles that a larger group is dealt over: with more members tiles grow
+#: instead, up to the bound on shingles, so that rows stay in proportion to members.
+TILE, TILE_SHINGLES, TILES = 1024, 1 << 22, 16
 
 
 def super_min_hash(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -143,107 +144,143 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, wide, company): n, the size of a's set; more and less, what b's adds and lacks; linked; and, of wide pairs, the added shingles.
+    """The linked ones of pairs (a, b, company).
 
     Rows of a leader a are dealt over salts by ``company``, which bounds their number; each salt gets a's set once.
     """
     dealt = pairs.withColumn("salt", F.expr(f"pmod(xxhash64(b), 1 + company div {SALT_ROWS})"))
-    members = dealt.select("a", "salt", "b", "wide").join(sets.selectExpr("doc_id AS b", "shingles"), "b").select("a", "salt", "b", "wide", "shingles")
-    leaders = dealt.select("a", "salt").distinct().join(sets.selectExpr("doc_id AS a", "shingles"), "a").selectExpr("a", "salt", "cast(null as bigint) AS b", "false AS wide", "shingles")
+    members = dealt.select("a", "salt", "b").join(sets.selectExpr("doc_id AS b", "shingles"), "b").select("a", "salt", "b", "shingles")
+    leaders = dealt.select("a", "salt").distinct().join(sets.selectExpr("doc_id AS a", "shingles"), "a").selectExpr("a", "salt", "cast(null as bigint) AS b", "shingles")
     both = members.union(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
         x = np.zeros(0, np.uint64)
         for batch in batches:
-            more, less, linked, size, added, kept = [], [], [], [], [], []
+            linked = []
             flat, offs = batch.column("shingles").values.to_numpy().view(np.uint64), batch.column("shingles").offsets.to_numpy()
-            for k, (b, wide) in enumerate(zip(batch.column("b").to_pylist(), batch.column("wide").to_pylist(), strict=True)):
+            for k, b in enumerate(batch.column("b").to_pylist()):
                 y = flat[offs[k] : offs[k + 1]]
                 if b is None:
                     x = y.copy()
-                    continue
-                found = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
-                common = int(found.sum())
-                size.append(len(x)), more.append(len(y) - common), less.append(len(x) - common), kept.append(k)
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-                added.append(y[~found].view(np.int64) if wide else np.zeros(0, np.int64))
-            out = np.concatenate(added) if added else np.zeros(0, np.int64)
-            ids = batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-            yield pa.record_batch(
-                [*ids.columns, pa.array(size, pa.int64()), pa.array(more, pa.int64()), pa.array(less, pa.int64()), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(offsets_of([len(x) for x in added]), pa.array(out))],
-                names=["a", "b", "n", "more", "less", "linked", "added"],
-            )
+                elif confirmed(x, [y], percent)[0]:
+                    linked.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(linked, pa.int64()))
 
     ship(pairs.sparkSession)
-    return both.mapInArrow(run, "a bigint, b bigint, n bigint, more bigint, less bigint, linked boolean, added array<bigint>")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def confirmed(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of other sets are linked with x; none is empty."""
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    found = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    common = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * common >= percent * (len(x) + sizes - common)
 
 
-def small_pairs(sized: DataFrame, few: int, percent: int) -> DataFrame:
-    """(a, b): pairs of different parts in groups of at most ``few``.
+def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """For each set and each of ``bits`` bins whether the bin holds an odd number of elements, 64 bins a number.
 
-    Sets that differ in how much they add and lack, as seen from the group's last leader, differ by that at least.
+    Two sets' sketches differ in no more bins than there are elements in one of the sets only.
     """
-    up, down = 100 + percent, 100 - percent
-    small = sized.where(f"pairs <= {few}").groupBy("g", "who", "sub").agg(F.collect_set(F.struct("b", "part", "apart", "more", "less", "size")).alias("all")).dropDuplicates(["g", "who"])
-    each = small.select(F.explode(F.filter("all", lambda x: x.apart)).alias("x"), "all").select("x", F.explode("all").alias("y"))
-    each = each.where(f"x.part <> y.part and (x.b < y.b or not y.apart) and {up} * (abs(x.more - y.more) + abs(x.less - y.less)) <= {down} * (x.size + y.size)")
-    return each.selectExpr("least(x.b, y.b) AS a", "greatest(x.b, y.b) AS b").distinct()
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    step = max(1, (1 << 21) // bits)
+    for at in range(0, len(sets), step):
+        some = sets[at : at + step]
+        row = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        count = np.bincount(row * bits + (np.concatenate(some) & X.U64(bits - 1)).astype(np.int64), minlength=len(some) * bits)
+        out[at : at + step] = np.packbits((count & 1).astype(np.uint8).reshape(len(some), bits), axis=1).view(np.uint64)
+    return out
 
 
-def led(groups: DataFrame, company: DataFrame, members: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of groups (g, sub, b, part, apart, more, less, size): (g, a, b, company), the other members b beside a leader a; and (a, b), the pairs of small groups.
+def united(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different parts that connect what any links between them (of different sides, if given) connect.
 
-    ``part`` is what b is known to be connected with, ``apart`` whether that isn't what most are.  The leader is the
-    member with most company, of those apart where there are any: the text that copies were made from.  Subgroups of
-    g with one leader become one group.  Pairs are those of different parts.
-    """
-    sizes = groups.groupBy("g", "sub").agg(F.count("*").alias("c"), F.sum(F.col("apart").cast("bigint")).alias("k"), F.bit_xor(F.xxhash64("b")).alias("who"), (F.min("part") != F.max("part")).alias("several"))
-    sizes = cut(sizes.where("several").select("g", "sub", "c", F.expr("k * c").alias("pairs"), "who"))
-    sized = cut(keyed_join(groups, sizes, ["g", "sub"], "c", ready=True))
-    few, pairs = FEW, None
-    if members:
-        total = sizes.select(*(F.sum(F.expr(f"if(pairs <= {most}, pairs, 0)")) for most in MOST)).first()
-        few = max((most for most, n in zip(MOST, total, strict=True) if (n or 0) <= RAW * members), default=FEW)
-    if few > FEW:
-        pairs = cut(small_pairs(sized, few, percent))
-        if pairs.count() > PAIRS * members:
-            few = FEW
-    if few == FEW:
-        pairs = cut(small_pairs(sized, few, percent))
-    many = cut(sized.where(f"pairs > {few}").select("g", "sub", "b", "apart").join(company, "b"))
-    best = many.groupBy("g", "sub").agg(F.max(F.struct("apart", "company", F.expr("-b AS minus"))).alias("m"), F.count("*").alias("c"))
-    beside = keyed_join(many.select("g", "sub", "b"), best.selectExpr("g", "sub", "-m.minus AS a", "m.company AS company", "c"), ["g", "sub"], "c").where("a <> b")
-    return beside.groupBy(F.xxhash64("g", "a").alias("g"), "a", "b").agg(F.max("company").alias("company")), pairs
-
-
-def subgroups(seen: DataFrame, percent: int) -> DataFrame:
-    """(g, sub, b, part, apart, more, less, size): groups of g's members outside of which no two of them are linked, but for those both linked to g's leader.
-
-    Groups whose members are known to be connected are left out.
-
-    With leader L, A_x = x minus L and R_x = L minus x, two sets are linked if |A_x ^ A_y| + |R_x ^ R_y| is at
-    most (100 - percent) / (100 + percent) * (|x| + |y|).  So either they share an added shingle, of which they
-    then share so many that it is among the |x| / 4 + 1 rarest of A_x (at 80 percent); or one lacks more than it
-    adds, by as much as the other is beyond the limit from the leader.  Both are necessary, so nothing is lost.
+    A linked pair has at most (100 - percent) / (100 + percent) * (|x| + |y|) elements in one of the two only, so
+    pairs whose sketches differ in more bins aren't linked.  The others are confirmed unless connected by then.
     """
     up, down = 100 + percent, 100 - percent
-    # y of at most |x| * 100 / percent shingles: |x| + |y| <= |x| * (100 + percent) / percent, times down / up.
-    own = seen.withColumn("prefix", F.expr(f"cast(floor((n + more - less) * {down} / {percent}) as bigint) + 1"))
-    parts = own.where("size(added) > 0").select("g", "b", "part", "prefix", F.explode("added").alias("e"))
-    # Elements that the same members add are one class: members meet once for each class, not for each element.
-    often = parts.groupBy("g", "e").agg(F.count("*").alias("f"), F.bit_xor(F.xxhash64("b")).alias("sub"), (F.min("part") != F.max("part")).alias("several")).where("several").drop("several")
-    order = Window.partitionBy("g", "b").orderBy(F.col("f").asc_nulls_first(), "e")
-    # Elements of one part alone come first: they can't be shared with another part, but count as rare.
-    shared = keyed_join(parts, often, ["g", "e"], "f", "left").withColumn("rank", F.row_number().over(order)).where("rank <= prefix and f is not null")
-    # beyond: how far x is past the limit from the leader; lost: how much more x lacks than it adds; both times (up - down) / ...
-    scaled = seen.select("g", "b", "part", F.expr(f"{up - down} * more + {up + down} * less - {2 * down} * n").alias("beyond"), F.expr(f"{up - down} * (less - more)").alias("lost"))
-    reach = scaled.groupBy("g").agg(F.max("lost").alias("most"), F.min(F.when(F.col("beyond") > 0, F.col("beyond"))).alias("least"), F.count("*").alias("c"), (F.min("part") != F.max("part")).alias("several")).where("several and most >= least").drop("several")
-    lacking = keyed_join(scaled, reach, ["g"], "c").where("(beyond > 0 and beyond <= most) or lost >= least")
-    both = cut(shared.select("g", "sub", "b", "part").distinct().union(lacking.selectExpr("g", "cast(0 as bigint) AS sub", "b", "part")))
-    # Of two members of different parts one at least is outside of the smallest part, which large components tend to be.
-    main = both.groupBy("g", "sub").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("c"))
-    halves = keyed_join(both, main.where("low <> high"), ["g", "sub"], "c").withColumn("is_low", F.expr("part = low"))
-    return halves.select("g", "sub", "b", "part", F.expr("not is_low").alias("apart")).join(seen.selectExpr("g", "b", "more", "less", "n + more - less AS size"), ["g", "b"])
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    part = np.unique(part, return_inverse=True)[1]
+    ends = np.searchsorted(percent * size[order], 100 * size[order], "right")  # larger sets are too large
+    bits = 1 << np.maximum(6, np.ceil(np.log2(4 * size[order])).astype(np.int64))
+    links = []
+    for m in np.unique(bits):
+        first, last = np.searchsorted(bits, m), np.searchsorted(bits, m, "right")
+        rows = order[first : ends[last - 1]]
+        held, sizes = sketches([sets[r] for r in rows], int(m)), size[rows]
+        for k in range(last - first):
+            x, stop = rows[k], ends[first + k] - first
+            open_ = part[rows[k + 1 : stop]] != part[x]
+            if side is not None:
+                open_ &= side[rows[k + 1 : stop]] != side[x]
+            at = k + 1 + np.flatnonzero(open_)
+            if not len(at):
+                continue
+            apart = np.bitwise_count(held[at] ^ held[k]).sum(axis=1, dtype=np.int64)
+            near, step = rows[at[up * apart <= down * (sizes[at] + sizes[k])]], 1
+            while len(near):
+                some, near = near[:step], near[step:]
+                for y in some[confirmed(sets[x], [sets[y] for y in some], percent)]:
+                    if part[y] != part[x]:
+                        links.append((x, y))
+                        part[part == part[y]] = part[x]
+                near = near[part[near] != part[x]]
+                step = max(1, min(4 * step, (1 << 20) // len(sets[x])))
+    return links
+
+
+def tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what links between different parts of groups (g, b, part, size) connect.
+
+    Members of a group's largest part don't meet one another.  The others are dealt over tiles, and so are the largest
+    part's; each of the others' tiles meets itself, each later one and each of the largest part's.
+    """
+    parts = groups.groupBy("g", "part").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    shape = parts.groupBy("g").agg(F.max(F.struct("n", "part", "w")).alias("m"), F.sum("n").alias("c"), F.sum("w").alias("w")).where("c > m.n")
+
+    def tiles(n: str, w: str) -> str:
+        return f"least({n}, greatest(least(ceil({n} / {TILE}), {TILES}), ceil({w} / {TILE_SHINGLES})))"
+
+    shape = shape.selectExpr("g", "m.part AS main", f"{tiles('(c - m.n)', '(w - m.w)')} AS others", f"{tiles('m.n', 'm.w')} AS mains", "c")
+    own = F.expr("if(part = main, others + pmod(xxhash64(b), mains), pmod(xxhash64(b), others))")
+    each = keyed_join(groups.select("g", "b", "part"), shape, ["g"], "c").withColumn("own", own)
+    each = each.select("g", "b", "part", "own", F.expr("explode(sequence(0, if(part = main, others, others + mains) - 1))").alias("other"))
+    each = each.selectExpr("g", "least(own, other) AS i", "greatest(own, other) AS j", "b", "part", "own")
+    rows = each.join(sets.selectExpr("doc_id AS b", "shingles"), "b").select("g", "i", "j", "b", "part", "own", "shingles")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+    def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        column = lambda name: np.concatenate([h.column(name).to_numpy() for h in held])
+        members = []
+        for h in held:
+            flat, offs = h.column("shingles").values.to_numpy().view(np.uint64), h.column("shingles").offsets.to_numpy()
+            members += [flat[offs[k] : offs[k + 1]] for k in range(h.num_rows)]
+        first = held[0].slice(0, 1).to_pylist()[0]
+        links = np.array(united(members, column("part"), None if first["i"] == first["j"] else column("own"), percent), np.int64).reshape(-1, 2)
+        ids = column("b")[links]
+        return pa.record_batch([pa.array(ids.min(axis=1)), pa.array(ids.max(axis=1))], names=["a", "b"])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(name).to_numpy() for name in ("g", "i", "j")], axis=1)
+            starts = [0, *(1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))), len(keys)]
+            for at, end in zip(starts[:-1], starts[1:], strict=True):
+                if at == end:
+                    continue
+                if held and key != (*keys[at],):
+                    yield met(held)
+                    held = []
+                key = (*keys[at],)
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield met(held)
+
+    ship(groups.sparkSession)
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -278,26 +315,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
+def small_pairs(member: DataFrame) -> DataFrame:
+    """(a, b): the pairs of each bucket of (key, b)."""
+    each = member.groupBy("key").agg(F.sort_array(F.collect_set("b")).alias("all")).select("all").distinct()
+    each = each.select(F.posexplode("all").alias("k", "a"), "all").where("k + 1 < size(all)")
+    return each.select("a", F.expr("explode(slice(all, k + 2, size(all)))").alias("b")).distinct()
+
+
+def led(member: DataFrame, company: DataFrame) -> DataFrame:
+    """(a, b, company): beside each leader a the other members b of the buckets (key, b, c) that it leads.
+
+    The leader is the member with most company: the text that copies were made from.
+    """
+    best = member.join(company, "b").groupBy("key").agg(F.max(F.struct("company", F.expr("-b AS minus"))).alias("m"), F.max("c").alias("c"))
+    beside = keyed_join(member.select("key", "b"), best.selectExpr("key", "-m.minus AS a", "m.company AS company", "c"), ["key"], "c").where("a <> b")
+    return beside.groupBy("a", "b").agg(F.max("company").alias("company"))
+
+
 def connected(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(b, part) of representatives (doc_id, set_hash, bands) that share a bucket: the smallest one reachable by links."""
+    """(b, part) of representatives (doc_id, n_shingles, set_hash, bands) that share a bucket: the smallest one reachable by links."""
     member = cut(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b")))
     sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     member = cut(keyed_join(member, sizes, ["key"], "c"))
     company = cut(member.groupBy("b").agg(F.sum("c").alias("company")))
     sets = cut(sets_of(docs, reps.join(company.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "set_hash"), shingle))
-    groups = member.selectExpr("0L AS g", "key AS sub", "b", "b AS part", "true AS apart", "0L AS more", "0L AS less", "0L AS size")
-    label, members = cut(company.selectExpr("b", "b AS part")), 0
-    while True:  # a group's leader is in none of its subgroups, so groups shrink
-        beside, pairs = led(groups, company, members, percent)
-        beside, members = cut(beside), company.count()
-        asked = pairs.join(company.selectExpr("b AS a", "company"), "a").selectExpr("a", "b", "false AS wide", "company")
-        asked = asked.union(beside.groupBy("a", "b").agg(F.lit(True).alias("wide"), F.max("company").alias("company")))
-        seen = cut(compare(asked.groupBy("a", "b").agg(F.max("wide").alias("wide"), F.max("company").alias("company")), sets, percent))
-        label = joined(label, seen.where("linked").select("a", "b"))
-        if beside.isEmpty():
-            return label
-        seen = cut(beside.select("g", "a", "b").join(seen, ["a", "b"]).join(label, "b"))
-        groups = cut(subgroups(seen, percent))
+    beside = cut(led(member.where(f"c > {FEW}"), company))
+    asked = small_pairs(member.where(f"c <= {FEW}")).join(company.selectExpr("b AS a", "company"), "a").select("a", "b", "company")
+    asked = asked.union(beside).groupBy("a", "b").agg(F.max("company").alias("company"))
+    label = joined(company.selectExpr("b", "b AS part"), cut(compare(asked, sets, percent)))
+    groups = cut(beside.select(F.col("a").alias("g"), "b").join(label, "b").join(reps.selectExpr("doc_id AS b", "n_shingles AS size"), "b"))
+    return joined(label, cut(tiled(groups, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -310,7 +357,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         sig = sig.withColumn("stands", F.lit(True))
     some = sig.where("n_shingles > 0 and stands")
     classes = cut(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
-    reps = cut(some.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "set_hash", "bands").dropDuplicates(["doc_id"]))
+    reps = cut(some.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "n_shingles", "set_hash", "bands").dropDuplicates(["doc_id"]))
     label = connected(docs, reps, shingle, percent)
     whole = classes.join(label.selectExpr("b AS rep", "part"), "rep", "left").select("set_hash", F.coalesce("part", "rep").alias("component_id"), "c")
     return (

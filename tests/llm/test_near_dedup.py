@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from quadrille.llm import near_dedup
 
 R = random.Random(9)
@@ -78,6 +80,66 @@ def test_chains_copies_and_words_that_sums_of_powers_confuse(spark):
     assert got == brute(rows, 4) and [got[5000 + k][2] for k in range(3)] == [True, True, False]
 
 
+def edited(copies):
+    """Copies of a text with words replaced by common ones: many are linked with none, but share what was put in."""
+    base, put = say(150), say(6, "p")
+    rows = []
+    for k in range(copies):
+        words = base[:]
+        for _ in range(R.randrange(16)):
+            words[R.randrange(150)] = put[R.randrange(6)]
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_copies_linked_with_none_cost_rows_in_proportion(spark, monkeypatch):
+    counts, compare = [], near_dedup.compare
+
+    def counted(pairs, sets, percent):
+        counts.append(pairs.count())
+        return compare(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "compare", counted)
+    rows = edited(400)
+    want = brute(rows, 4)
+    assert len({part for _, part, _ in want.values()}) > 100
+    assert run(spark, rows) == want
+    assert len(counts) == 1 and counts[0] < 25 * len(rows)
+
+
+def test_tiles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = edited(200)
+    rows += [(k + 200, " ".join([*t.split(), *say(60, "x")])) for k, t in rows[:60]]
+    try:
+        assert run(spark, rows) == brute(rows, 4)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_united_connects_what_all_pairs_do():
+    rng = np.random.default_rng(5)
+    for percent in (50, 80, 100):
+        pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool[: rng.integers(1, 30)], rng.integers(1, 40))) for _ in range(150)]
+        sets += [np.unique(np.append(pool[: rng.integers(150, 400)], rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64))) for _ in range(50)]
+        part, side = rng.integers(0, 150, 200), rng.integers(0, 2, 200)
+        for sides in (None, side):
+
+            def groups(links):
+                root = part.copy()
+                for x, y in links:
+                    root[root == root[x]] = root[y]
+                return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+            some = near_dedup.united(sets, part, sides, percent)
+            every = [(x, y) for x in range(200) for y in range(x) if sides is None or side[x] != side[y]]
+            every = [(x, y) for x, y in every if 100 * len(np.intersect1d(sets[x], sets[y])) >= percent * len(np.union1d(sets[x], sets[y]))]
+            assert groups(some) == groups(every) and len(some) < 200
+
+
 def test_rows_of_one_id_that_differ(spark):
     one, two = " ".join(say(50)), " ".join(say(50))
     docs = spark.createDataFrame([(5, one), (5, two), (6, one), (7, two), (5, None)], "doc_id bigint, text string").coalesce(1)
