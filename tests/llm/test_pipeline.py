@@ -1,6 +1,10 @@
 """The pipeline's stages take effect and keep clean documents."""
 
+import os
+import random
+
 import corpus_pipeline
+from quadrille.llm import near_dedup
 from quadrille.llm.registry import oracle_sql, queries
 
 
@@ -38,3 +42,27 @@ def test_language_stage_keeps_long_documents(spark):
     rows = [(k, say(lang, 1000), lang, "s", 0) for k in range(160) for lang in [("aa", "bb")[k % 2]]] + [(1000 + k, say(lang, 3_000_000), lang, "s", 0) for k, lang in enumerate(kinds)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert {row.doc_id for row in corpus_pipeline.identify_language(spark, docs, "").select("doc_id").collect()} == {row[0] for row in rows}
+
+
+def test_the_near_duplicate_stage_holds_disk_in_proportion(spark, monkeypatch):
+    r, rows = random.Random(4), []
+    say = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    base, passages = say(200), [say(7) for _ in range(24)]
+    for k in range(500):
+        words = base[:]
+        for passage in r.sample(passages, 4):
+            at = r.randrange(190)
+            words[at : at + 7] = passage
+        rows.append((k, " ".join(words)))
+    written, cut = [], near_dedup.cut
+
+    def counted(df, *partitions):
+        table = cut(df, *partitions)
+        written.append(sum(os.path.getsize(f.removeprefix("file://")) for f in table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").count()
+    assert 0 < kept <= len(rows)
+    assert sum(written) < 2 * sum(len(t) for _, t in rows)
