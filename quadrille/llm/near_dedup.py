@@ -5,7 +5,8 @@ each class gets a SuperMinHash signature (ranks of one permutation per shingle,
 rank can lower a minimum), whose bands make buckets.  Those of at most FEW members are compared pair by pair.  Members of a larger one are
 compared with a leader; buckets of one leader are a group, and members of a group that aren't yet known to be
 connected meet in tiles: a task has two tiles' sets, rules pairs out by a bound (``sketches``), confirms the others and
-emits no more links than it has members.  So no group is expanded into rows for its pairs, and no pair above
+emits no more links than it has members.  Sets travel in rounds that hold half of what the table of sets
+holds, whose shuffles go before the next, so disk doesn't grow with the number of pairs or leaders.  So no group is expanded into rows for its pairs, and no pair above
 the threshold that shares a bucket stays apart.  Links are confirmed on full shingle sets, and
 components grow by distributed minimum labels with pointer jumping.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import textops as X
 from quadrille.llm.common import bitmap, cut, in_bitmap, keyed_join, map_rows, offsets_of, screened, table
 from quadrille.ship import ship
+from quadrille.tables import discard, swept
 
 SIZE, ROWS = 128, 4
 #: Elements whose permutations are held at once: 256 bytes each.
@@ -43,6 +45,8 @@ FEW = 12
 #: Members and shingles (8 bytes each) a tile, and tiles that a larger group is dealt over: with more members tiles grow
 #: instead, up to the bound on shingles, so that rows stay in proportion to members.
 TILE, TILE_SHINGLES, TILES = 1024, 1 << 22, 16
+#: Shingles (8 bytes each) that a round sends at least, if there are as many.
+ROUND_SHINGLES = 1 << 23
 
 
 def super_min_hash(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -140,18 +144,36 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         return pa.record_batch([batch.column("doc_id"), _digests(sets), pa.ListArray.from_arrays(offsets_of([len(s) for s in sets]), pa.array(flat))], names=["doc_id", "set_hash", "shingles"])
 
     rows = map_rows(docs.select("doc_id", "text"), "text", run, "doc_id bigint, set_hash binary, shingles array<bigint>")
-    return rows.join(wanted, ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id"]).drop("set_hash")
+    return rows.join(wanted, ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"]).drop("set_hash")
+
+
+def in_rounds(asked: DataFrame, keys: list[str], sets: DataFrame, order: list, run, schema: str) -> DataFrame:
+    """``run`` over the rows of ``asked`` (keys, ..., doc_id, size) with their shingles, those of equal keys together.
+
+    A round sends the rows of some keys: half as many shingles as ``sets`` holds, or ROUND_SHINGLES if that is more.
+    """
+    asked = cut(asked)
+    held = sets.agg(F.sum(F.size("shingles").cast("bigint"))).first()[0] or 0
+    rounds = max(1, -(-(asked.agg(F.sum("size")).first()[0] or 0) // max(ROUND_SHINGLES, held // 2)))
+    out = []
+    for k in range(rounds):
+        some = asked.where(F.pmod(F.xxhash64(*keys, F.lit(rounds)), F.lit(rounds)) == k).drop("size")
+        rows = some.join(sets, "doc_id").select(*some.drop("doc_id").columns, "shingles")
+        out.append(cut(rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)))
+    discard(asked)
+    while len(out) > 1:
+        out = [x.union(y) for x, y in zip(out[::2], out[1::2])] + out[len(out) & ~1 :]
+    return out[0]
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b, company).
+    """The linked ones of pairs (a, b, company, size_a, size_b).
 
     Rows of a leader a are dealt over salts by ``company``, which bounds their number; each salt gets a's set once.
     """
     dealt = pairs.withColumn("salt", F.expr(f"pmod(xxhash64(b), 1 + company div {SALT_ROWS})"))
-    members = dealt.select("a", "salt", "b").join(sets.selectExpr("doc_id AS b", "shingles"), "b").select("a", "salt", "b", "shingles")
-    leaders = dealt.select("a", "salt").distinct().join(sets.selectExpr("doc_id AS a", "shingles"), "a").selectExpr("a", "salt", "cast(null as bigint) AS b", "shingles")
-    both = members.union(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    leaders = dealt.selectExpr("a", "salt", "cast(null as bigint) AS b", "a AS doc_id", "size_a AS size").distinct()
+    both = dealt.selectExpr("a", "salt", "b", "b AS doc_id", "size_b AS size").union(leaders)
 
     def run(batches):
         x = np.zeros(0, np.uint64)
@@ -167,7 +189,7 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(linked, pa.int64()))
 
     ship(pairs.sparkSession)
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return in_rounds(both, ["a", "salt"], sets, ["a", "salt", F.col("b").asc_nulls_first()], run, "a bigint, b bigint")
 
 
 def confirmed(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -246,11 +268,9 @@ def tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     shape = shape.selectExpr("g", "m.part AS main", f"{tiles('(c - m.n)', '(w - m.w)')} AS others", f"{tiles('m.n', 'm.w')} AS mains", "c")
     own = F.expr("if(part = main, others + pmod(xxhash64(b), mains), pmod(xxhash64(b), others))")
-    each = keyed_join(groups.select("g", "b", "part"), shape, ["g"], "c").withColumn("own", own)
-    each = each.select("g", "b", "part", "own", F.expr("explode(sequence(0, if(part = main, others, others + mains) - 1))").alias("other"))
-    each = each.selectExpr("g", "least(own, other) AS i", "greatest(own, other) AS j", "b", "part", "own")
-    rows = each.join(sets.selectExpr("doc_id AS b", "shingles"), "b").select("g", "i", "j", "b", "part", "own", "shingles")
-    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    each = keyed_join(groups.select("g", "b", "part", "size"), shape, ["g"], "c").withColumn("own", own)
+    each = each.select("g", "b", "part", "size", "own", F.expr("explode(sequence(0, if(part = main, others, others + mains) - 1))").alias("other"))
+    each = each.selectExpr("g", "least(own, other) AS i", "greatest(own, other) AS j", "b", "part", "own", "b AS doc_id", "size")
 
     def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         column = lambda name: np.concatenate([h.column(name).to_numpy() for h in held])
@@ -280,7 +300,7 @@ def tiled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield met(held)
 
     ship(groups.sparkSession)
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return in_rounds(each, ["g", "i", "j"], sets, ["g", "i", "j"], run, "a bigint, b bigint")
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -334,21 +354,33 @@ def led(member: DataFrame, company: DataFrame) -> DataFrame:
 
 def connected(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(b, part) of representatives (doc_id, n_shingles, set_hash, bands) that share a bucket: the smallest one reachable by links."""
-    member = cut(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b")))
-    sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    member = cut(keyed_join(member, sizes, ["key"], "c"))
-    company = cut(member.groupBy("b").agg(F.sum("c").alias("company")))
-    sets = cut(sets_of(docs, reps.join(company.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "set_hash"), shingle))
-    beside = cut(led(member.where(f"c > {FEW}"), company))
-    asked = small_pairs(member.where(f"c <= {FEW}")).join(company.selectExpr("b AS a", "company"), "a").select("a", "b", "company")
-    asked = asked.union(beside).groupBy("a", "b").agg(F.max("company").alias("company"))
-    label = joined(company.selectExpr("b", "b AS part"), cut(compare(asked, sets, percent)))
-    groups = cut(beside.select(F.col("a").alias("g"), "b").join(label, "b").join(reps.selectExpr("doc_id AS b", "n_shingles AS size"), "b"))
-    return joined(label, cut(tiled(groups, sets, percent)))
+    every = cut(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b")))
+    sizes = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    member = cut(keyed_join(every, sizes, ["key"], "c"))
+    discard(every)
+    company = member.groupBy("b").agg(F.sum("c").alias("company"))
+    company = cut(company.join(reps.selectExpr("doc_id AS b", "n_shingles AS size", "set_hash"), "b"))
+    sets = cut(sets_of(docs, company.selectExpr("b AS doc_id", "set_hash"), shingle))
+    beside = cut(led(member.where(f"c > {FEW}"), company.select("b", "company")))
+    pairs = small_pairs(member.where(f"c <= {FEW}")).join(company.selectExpr("b AS a", "company"), "a").select("a", "b", "company")
+    pairs = pairs.union(beside).groupBy("a", "b").agg(F.max("company").alias("company"))
+    pairs = pairs.join(company.selectExpr("b AS a", "size AS size_a"), "a").join(company.selectExpr("b", "size AS size_b"), "b")
+    pairs = cut(pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"))  # no other pair is linked
+    links = cut(compare(pairs, sets, percent))
+    label = joined(company.selectExpr("b", "b AS part"), links)
+    groups = cut(beside.select(F.col("a").alias("g"), "b").join(label, "b").join(company.select("b", "size"), "b"))
+    links = cut(tiled(groups, sets, percent))
+    discard(member, company, sets, beside, pairs, groups)
+    return joined(label, links)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: n_shingles, component_id (the smallest doc_id reachable by links) and whether it is kept."""
+    with swept(docs.sparkSession):
+        return _near_duplicates(docs, shingle, percent)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sig = cut(signatures(docs, shingle))
     several = cut(sig.where("n_shingles > 0").groupBy("doc_id").agg(F.min("set_hash").alias("one"), F.max("set_hash").alias("other")).where("one <> other").select("doc_id", "one"))
     if not several.isEmpty():
@@ -357,8 +389,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         sig = sig.withColumn("stands", F.lit(True))
     some = sig.where("n_shingles > 0 and stands")
     classes = cut(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
-    reps = cut(some.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "n_shingles", "set_hash", "bands").dropDuplicates(["doc_id"]))
+    reps = cut(some.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select("doc_id", "n_shingles", "set_hash", "bands").dropDuplicates(["doc_id", "set_hash"]))
     label = connected(docs, reps, shingle, percent)
+    discard(reps)
     whole = classes.join(label.selectExpr("b AS rep", "part"), "rep", "left").select("set_hash", F.coalesce("part", "rep").alias("component_id"), "c")
     return (
         keyed_join(sig.select("doc_id", "n_shingles", "set_hash"), whole, ["set_hash"], "c", "left")
@@ -369,7 +402,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def keep(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are kept, as they are; only those whose ids may be among the dropped are shuffled."""
-    gone = cut(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
+    with swept(docs.sparkSession):
+        gone = cut(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
     some, rest = screened(docs, gone, gone.count())
     return some.join(gone, "doc_id", "left_anti").select(*docs.columns).union(rest)
 

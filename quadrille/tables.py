@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,27 @@ def written(df: DataFrame, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more, instead of when the application ends."""
+    for table in tables:
+        if files := table.inputFiles():
+            spark = table.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{files[0].split('/')[-2]}")
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go when it ends, instead of when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
     """``df`` with the place of each row, from 0, in its group's order.
 

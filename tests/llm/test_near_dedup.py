@@ -2,6 +2,8 @@
 
 import random
 import re
+import threading
+from pathlib import Path
 
 import numpy as np
 
@@ -119,6 +121,49 @@ def test_tiles_lose_no_link(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_copies_of_copies_hold_disk_in_proportion_and_lose_no_link(spark, monkeypatch):
+    rows = []
+    for c in range(2):
+        line = [say(300)]
+        for _ in range(80):
+            words = line[R.randrange(max(0, len(line) - 20), len(line))][:]
+            for _ in range(R.randrange(1, 8)):
+                words[R.randrange(300)] = say(1)[0]
+            line.append(words)
+        rows += [(1000 * c + k, " ".join(words)) for k, words in enumerate(line)]
+    monkeypatch.setattr(near_dedup, "ROUND_SHINGLES", 1 << 10, raising=False)
+    folders = [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    folders.append(Path(spark.conf.get("spark.checkpoint.dir")))
+    done, held = threading.Event(), []
+
+    def files():
+        for folder in folders:
+            for file in folder.rglob("*"):
+                try:
+                    if file.is_file() and (file.suffix == ".parquet" or file.name.startswith("shuffle_")):
+                        yield file, file.stat().st_size
+                except OSError:  # a file may go meanwhile
+                    pass
+
+    def watch():
+        while not done.wait(0.01):
+            try:
+                held.append(sum(size for file, size in files() if file not in before))
+            except OSError:
+                pass
+
+    before = {file for file, _ in files()}
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = run(spark, rows)
+    finally:
+        done.set()
+        watcher.join()
+    assert got == brute(rows, 4)
+    assert max(held) < 2 * sum(len(t) for _, t in rows), max(held) / sum(len(t) for _, t in rows)
+
+
 def test_united_connects_what_all_pairs_do():
     rng = np.random.default_rng(5)
     for percent in (50, 80, 100):
