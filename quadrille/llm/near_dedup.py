@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import textops as X
 from quadrille.llm.common import bitmap, cut, in_bitmap, keyed_join, map_rows, offsets_of, screened, table
 from quadrille.ship import ship
-from quadrille.tables import discard, swept
+from quadrille.tables import bucketed, discard, swept
 
 SIZE, ROWS = 128, 4
 #: Elements whose permutations are held at once: 256 bytes each.
@@ -131,7 +131,10 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles) of the wanted (doc_id, set_hash); a bitmap of the ids spares the others' shingles."""
+    """(doc_id, shingles) of the wanted (doc_id, set_hash), one for each id; a bitmap of the ids spares the others' shingles.
+
+    Hashes are compared by a range, which is no key of the join, so that the sets are dealt once, by doc_id.
+    """
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("doc_id"), wanted.count()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -144,13 +147,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         return pa.record_batch([batch.column("doc_id"), _digests(sets), pa.ListArray.from_arrays(offsets_of([len(s) for s in sets]), pa.array(flat))], names=["doc_id", "set_hash", "shingles"])
 
     rows = map_rows(docs.select("doc_id", "text"), "text", run, "doc_id bigint, set_hash binary, shingles array<bigint>")
-    return rows.join(wanted, ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"]).drop("set_hash")
+    wanted = wanted.selectExpr("doc_id AS id", "set_hash AS one")
+    return rows.join(wanted, F.expr("doc_id = id AND set_hash BETWEEN one AND one"), "left_semi").dropDuplicates(["doc_id"]).drop("set_hash")
 
 
 def in_rounds(asked: DataFrame, keys: list[str], sets: DataFrame, order: list, run, schema: str) -> DataFrame:
     """``run`` over the rows of ``asked`` (keys, ..., doc_id, size) with their shingles, those of equal keys together.
 
     A round sends the rows of some keys: half as many shingles as ``sets`` holds, or ROUND_SHINGLES if that is more.
+    ``sets`` is in buckets by doc_id, so that a round shuffles what it sends and not all sets besides.
     """
     asked = cut(asked)
     held = sets.agg(F.sum(F.size("shingles").cast("bigint"))).first()[0] or 0
@@ -360,17 +365,17 @@ def connected(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> D
     discard(every)
     company = member.groupBy("b").agg(F.sum("c").alias("company"))
     company = cut(company.join(reps.selectExpr("doc_id AS b", "n_shingles AS size", "set_hash"), "b"))
-    sets = cut(sets_of(docs, company.selectExpr("b AS doc_id", "set_hash"), shingle))
     beside = cut(led(member.where(f"c > {FEW}"), company.select("b", "company")))
     pairs = small_pairs(member.where(f"c <= {FEW}")).join(company.selectExpr("b AS a", "company"), "a").select("a", "b", "company")
     pairs = pairs.union(beside).groupBy("a", "b").agg(F.max("company").alias("company"))
     pairs = pairs.join(company.selectExpr("b AS a", "size AS size_a"), "a").join(company.selectExpr("b", "size AS size_b"), "b")
     pairs = cut(pairs.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"))  # no other pair is linked
-    links = cut(compare(pairs, sets, percent))
-    label = joined(company.selectExpr("b", "b AS part"), links)
-    groups = cut(beside.select(F.col("a").alias("g"), "b").join(label, "b").join(company.select("b", "size"), "b"))
-    links = cut(tiled(groups, sets, percent))
-    discard(member, company, sets, beside, pairs, groups)
+    with bucketed(sets_of(docs, company.selectExpr("b AS doc_id", "set_hash"), shingle), "doc_id") as sets:
+        links = cut(compare(pairs, sets, percent))
+        label = joined(company.selectExpr("b", "b AS part"), links)
+        groups = cut(beside.select(F.col("a").alias("g"), "b").join(label, "b").join(company.select("b", "size"), "b"))
+        links = cut(tiled(groups, sets, percent))
+    discard(member, company, beside, pairs, groups)
     return joined(label, links)
 
 

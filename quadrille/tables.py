@@ -40,6 +40,29 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def bucketed(df: DataFrame, column: str) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder in as many buckets by ``column`` as shuffles have partitions; it goes at the end.
+
+    A join on that column deals the other side alone, however often the table is joined.  Only the session's catalogue tells
+    Spark of buckets, so the table has a name there, of its own, for as long.
+    """
+    spark = df.sparkSession
+    name = f"quadrille_{uuid.uuid4().hex}"
+    path, entry = f"{shared_folder(spark)}/{name}", f"spark_catalog.default.{name}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    try:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(entry)
+        yield spark.table(entry)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
+        files.delete(where, True)
+
+
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a query go when it ends, instead of when the driver happens to collect its garbage."""

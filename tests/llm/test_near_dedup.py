@@ -164,6 +164,48 @@ def test_copies_of_copies_hold_disk_in_proportion_and_lose_no_link(spark, monkey
     assert max(held) < 2 * sum(len(t) for _, t in rows), max(held) / sum(len(t) for _, t in rows)
 
 
+def copies_of_copies(clusters):
+    rows = []
+    for c in range(clusters):
+        line = [say(300)]
+        for _ in range(40):
+            words = line[R.randrange(max(0, len(line) - 20), len(line))][:]
+            for _ in range(R.randrange(1, 8)):
+                words[R.randrange(300)] = say(1)[0]
+            line.append(words)
+        rows += [(1000 * c + k, " ".join(words)) for k, words in enumerate(line)]
+    return rows
+
+
+def shuffled(spark, monkeypatch, run):
+    """What ``run`` returns and the bytes that it shuffles, in rounds of few shingles and without broadcast joins."""
+    monkeypatch.setattr(near_dedup, "ROUND_SHINGLES", 1 << 13)
+    context = spark.sparkContext
+    doubles = context._gateway.new_array(context._jvm.double, 0)
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        found = context._jsc.sc().statusStore().stageList(None, False, False, doubles, context._jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = max(stages(), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return out, sum(size for stage, size in stages().items() if stage > before)
+
+
+def test_the_stage_shuffles_in_proportion_and_leaves_no_table(spark, monkeypatch):
+    rows = copies_of_copies(4)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, sent = shuffled(spark, monkeypatch, lambda: {r.doc_id for r in near_dedup.keep(docs, 5).collect()})
+    assert got == {i for i, (_, _, kept) in brute(rows, 5).items() if kept}
+    assert sent < 6 * sum(len(t) for _, t in rows), sent / sum(len(t) for _, t in rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quadrille_")]
+
+
 def test_united_connects_what_all_pairs_do():
     rng = np.random.default_rng(5)
     for percent in (50, 80, 100):
