@@ -206,6 +206,14 @@ def test_the_stage_shuffles_in_proportion_and_leaves_no_table(spark, monkeypatch
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quadrille_")]
 
 
+def test_op5_shuffles_in_proportion(spark, monkeypatch, tmp_path):
+    rows = copies_of_copies(2)
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, sent = shuffled(spark, monkeypatch, lambda: near_dedup.op5_near_dedup(spark, str(tmp_path)).collect())
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4)
+    assert sent < 6 * sum(len(t) for _, t in rows), sent / sum(len(t) for _, t in rows)
+
+
 def test_united_connects_what_all_pairs_do():
     rng = np.random.default_rng(5)
     for percent in (50, 80, 100):
