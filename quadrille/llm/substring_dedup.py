@@ -12,6 +12,8 @@ doc_id of each by partial aggregates.  Stretches of such windows in that documen
 passages; they are dealt over shards by hash, and each document's stretches go to the shards of the passages
 they may match.  A shard's automaton is built in the task that needs it, as often as its stretches are
 salted, and decides.  No window is compared with another, and no task holds more than one automaton.
+Windows look up their first document in ROUNDS rounds; shuffle files go when a query ends, tables once
+nothing reads them.
 
 Shared minimisers are looked up in a bitmap of bounded size; where there are too many for it, a join does
 the same.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import textops as X
 from quadrille.llm.automaton import SuffixAutomaton
 from quadrille.llm.common import HOT_KEYS, MOST_BITS, bitmap, cut, give_back, in_bitmap, keyed_join, map_rows, offsets_of, screened, table, unused
+from quadrille.tables import discard, swept
 
 #: Words of a window.
 WINDOW = 50
@@ -42,6 +46,8 @@ WINDOW = 50
 SHARD_BYTES = 4 << 20
 #: Windows of reference passages in one automaton that a task builds, and of stretches that one such automaton reads, about.
 SHARD_WINDOWS, SALT_WINDOWS = 1 << 16, 1 << 20
+#: Windows look up their first document in this many rounds, of which each shuffles its share of them.
+ROUNDS = 2
 #: Passages are dealt over shards in pieces of this many windows, so that a long one doesn't make a long shard.
 CHUNK = 1 << 12
 
@@ -136,22 +142,30 @@ def candidates(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BIT
 
 def repeated(docs: DataFrame, window: int = WINDOW, most_marks: int = MOST_BITS // 8, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """(doc_id, row, gone): first words of windows that also start in a document with a smaller doc_id; row is the text's hash."""
-    found = cut(candidates(docs, window, most_marks))
-    found = found.withColumn("id", F.xxhash64("doc_id", "row", "run"))  # runs that share one by chance get each other's hits, which the automata refuse
-    each = found.select("doc_id", "id", "run", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).selectExpr("doc_id", "id", "run + at AS at", "h.h1", "h.h2")
-    first = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("place"), F.count("*").alias("c"))
-    first = cut(first.where("low < high").select("h1", "h2", "low", "place", "c"))
-    count = max(1, -(-first.count() // shard_windows))
-    hit = keyed_join(each, first, ["h1", "h2"], "c", ready=True).withColumn("own", F.expr("doc_id = low"))
-    hit = cut(hit.select("id", "at", "own", F.expr(f"pmod(xxhash64(low, place div {CHUNK}), {count})").alias("shard")))
-    # A row for each of the heaviest automata only; any other has less than a HOT_KEYS-th of all windows to read.
-    loads = hit.where("not own").groupBy("shard").count().where(F.col("count") > SALT_WINDOWS).orderBy(F.desc("count"), "shard").limit(HOT_KEYS).collect()
-    salts = docs.sparkSession.sparkContext.broadcast({r.shard: 1 + r["count"] // SALT_WINDOWS for r in loads})
-    per = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("shard", "own", "at"))).alias("hits"))
-    pieces = map_rows(found.drop("h1", "h2").join(per, "id"), "said", lambda batch: _pieces(batch, window, salts.value), "shard bigint, salt bigint, own boolean, doc_id bigint, row bigint, at bigint, said binary")
-    dealt = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.desc("own"), "doc_id", "row", "at")
-    gone = dealt.mapInArrow(lambda batches: _decided(batches, window), "doc_id bigint, row bigint, at bigint")
-    return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
+    with swept(docs.sparkSession):
+        found = cut(candidates(docs, window, most_marks))
+        ids = found.withColumn("id", F.xxhash64("doc_id", "row", "run"))  # runs that share one by chance get each other's hits, which the automata refuse
+        each = ids.select("doc_id", "id", "run", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).selectExpr("doc_id", "id", "run + at AS at", "h.h1", "h.h2")
+        first = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("at").alias("place"), F.count("*").alias("c"))
+        first = cut(first.where("low < high").select("h1", "h2", "low", "place", "c"))
+        count = max(1, -(-first.count() // shard_windows))
+        hits = []
+        for k in range(ROUNDS):
+            share = F.pmod("h1", F.lit(ROUNDS)) == k
+            hit = keyed_join(each.where(share), first.where(share), ["h1", "h2"], "c", ready=True).withColumn("own", F.expr("doc_id = low"))
+            hits.append(cut(hit.select("id", "at", "own", F.expr(f"pmod(xxhash64(low, place div {CHUNK}), {count})").alias("shard"))))
+        discard(first)
+        hit = reduce(DataFrame.union, hits)
+        # A row for each of the heaviest automata only; any other has less than a HOT_KEYS-th of all windows to read.
+        loads = hit.where("not own").groupBy("shard").count().where(F.col("count") > SALT_WINDOWS).orderBy(F.desc("count"), "shard").limit(HOT_KEYS).collect()
+        salts = docs.sparkSession.sparkContext.broadcast({r.shard: 1 + r["count"] // SALT_WINDOWS for r in loads})
+        per = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("shard", "own", "at"))).alias("hits"))
+        pieces = map_rows(ids.drop("h1", "h2").join(per, "id"), "said", lambda batch: _pieces(batch, window, salts.value), "shard bigint, salt bigint, own boolean, doc_id bigint, row bigint, at bigint, said binary")
+        dealt = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.desc("own"), "doc_id", "row", "at")
+        gone = dealt.mapInArrow(lambda batches: _decided(batches, window), "doc_id bigint, row bigint, at bigint")
+        gone = cut(gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone")))
+        discard(found, *hits)
+    return gone
 
 
 def _pieces(batch: pa.RecordBatch, window: int, salts: dict[int, int]) -> pa.RecordBatch:
@@ -252,7 +266,7 @@ def kept_texts(mask: np.ndarray, places) -> list[bytes]:
 def _with_gone(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
     """``docs`` with a column of each one's windows that go, and its name; only rows that may have one are shuffled."""
     name, row = unused(docs, "gone"), unused(docs, "row")
-    gone = cut(repeated(docs, window).select("doc_id", F.col("row").alias(row), F.col("gone").alias(name)))
+    gone = repeated(docs, window).select("doc_id", F.col("row").alias(row), F.col("gone").alias(name))
     some, rest = screened(docs, gone, gone.count())
     joined = some.withColumn(row, F.xxhash64("text")).join(gone, ["doc_id", row], "left").select(*docs.columns, name)
     return joined.union(rest.withColumn(name, F.lit(None).cast("array<bigint>"))), name

@@ -1,6 +1,7 @@
 """Substring dedup against brute force: shards of few windows, salts, joins instead of a bitmap, clashing names, hostile words."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -70,3 +71,27 @@ def test_reference_of_its_own(spark, docs):
     assert [(r.start, r.end) for r in spans] == [(30, 100)]
     with pytest.raises(ValueError):
         substring_dedup.against_reference(docs, docs, most_bytes=10)
+
+
+def test_disk_is_given_back(spark, docs, monkeypatch):
+    cut, made, joined = substring_dedup.cut, [], []
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    join = substring_dedup.keyed_join
+
+    def watched(df):
+        assert spark.conf.get(key) == "true"
+        made.append(cut(df))
+        return made[-1]
+
+    def counted(left, *args, **kwargs):
+        joined.append(left.count())
+        return join(left, *args, **kwargs)
+
+    monkeypatch.setattr(substring_dedup, "cut", watched)
+    monkeypatch.setattr(substring_dedup, "keyed_join", counted)
+    gone = substring_dedup.repeated(docs)
+    assert gone.count() and spark.conf.get(key, None) == before
+    assert len(joined) == substring_dedup.ROUNDS and max(joined) < 0.75 * sum(joined)
+    there = [os.path.exists(f.removeprefix("file://")) for table in made for f in table.inputFiles()[:1]]
+    assert sum(there) == 2  # the shared minimisers and the result
