@@ -25,18 +25,17 @@ def _get(node: str, at: str, kind: str) -> str:
     return f"variant_get({node}, '$.{at}', '{kind}')"
 
 
-def _own_volume(node: str, world: str, frame: str) -> str:
-    """The node's own volume in world space: box before sphere before region; null where there is none, or a region in a local tree."""
-    box, ball, region = (_get(node, f"boundingVolume.{k}", "array<double>") for k in ("box", "sphere", "region"))
+def _own_volume(world: str, frame: str) -> str:
+    """The volume of a node's box, ball or region, in this order, in world space; null where there is none, or a region in a local tree."""
     return (
-        f"CASE WHEN {box} is not null THEN {V.moved(V.obb(f'slice({box}, 1, 3)', f'slice({box}, 4, 9)'), world)} "
-        f"WHEN {ball} is not null THEN {V.moved(V.sphere(f'slice({ball}, 1, 3)', f'{ball}[3]'), world)} "
-        f"WHEN {region} is not null AND {frame} = 'ecef' THEN {G.region_volume(region)} END"
+        f"CASE WHEN box is not null THEN {V.moved(V.obb('slice(box, 1, 3)', 'slice(box, 4, 9)'), world)} "
+        f"WHEN ball is not null THEN {V.moved(V.sphere('ball', 'ball[3]'), world)} "
+        f"WHEN region is not null AND {frame} = 'ecef' THEN {G.region_volume('region')} END"
     )
 
 
-def flatten(docs: DataFrame) -> DataFrame:
-    """Trees of tileset documents (set_id, frame, doc variant).
+def flatten(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Trees of tileset documents (set_id, frame, doc variant), whose tiles get the ``carried`` columns of their document.
 
     Optional columns base_path, base_world, base_refine and base_volume place a root below a tile.  Children
     inherit refine and volume, matrices compose downwards; a root without a usable volume is an error.
@@ -44,35 +43,39 @@ def flatten(docs: DataFrame) -> DataFrame:
     for name, value in (("base_path", "cast(array() AS array<int>)"), ("base_world", L.IDENTITY), ("base_refine", "'REPLACE'"), ("base_volume", f"cast(null AS {V.TYPE})")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.expr(value))
-    local = lambda node: f"coalesce({_get(node, 'transform', 'array<double>')}, {L.IDENTITY})"
-    step = lambda inherited: f"""coalesce({_own_volume('node', 'world', 'frame')}, {inherited})"""
-    root, spark = local("variant_get(doc, '$.root', 'variant')"), docs.sparkSession
-    level = spark.sql(
-        f"""SELECT set_id, frame, path, node, refine, world, coalesce({step('base_volume')}, cast(raise_error('a root has no usable bounding volume') AS {V.TYPE})) AS volume
-        FROM (SELECT set_id, frame, if(size(base_path) = 0, array(0), base_path) AS path, variant_get(doc, '$.root', 'variant') AS node, base_volume,
-                     coalesce(variant_get(doc, '$.root.refine', 'string'), base_refine) AS refine, {L.multiply('base_world', root)} AS world FROM {{docs}})""",
-        docs=docs,
-    )
+    same, spark = ["set_id", "frame", *carried], docs.sparkSession
+
+    def placed(nodes: DataFrame, otherwise: str) -> DataFrame:
+        """Nodes with what their tiles need, each member read once; ``otherwise`` is the volume where there is none to inherit."""
+        read = nodes.selectExpr(
+            *same, "path", f"coalesce({_get('node', 'refine', 'string')}, above_refine) AS refine", "above_world", "above_volume", f"{_get('node', 'transform', 'array<double>')} AS moves",
+            f"{_get('node', 'boundingVolume.box', 'array<double>')} AS box", f"{_get('node', 'boundingVolume.sphere', 'array<double>')} AS ball", f"{_get('node', 'boundingVolume.region', 'array<double>')} AS region",
+            f"{_get('node', 'geometricError', 'double')} AS geometric_error", f"coalesce({_get('node', 'content.uri', 'string')}, {_get('node', 'content.url', 'string')}) AS content_uri",
+            f"{_get('node', 'children', 'variant')} AS children",
+        )
+        moved = read.withColumn("world", F.expr(f"if(moves is null, above_world, {L.multiply('above_world', 'moves')})"))
+        return moved.selectExpr(*same, "path", "refine", "world", f"coalesce({_own_volume('world', 'frame')}, above_volume{otherwise}) AS volume", "geometric_error", "content_uri", "children")
+
+    roots = docs.selectExpr(
+        *same, "if(size(base_path) = 0, array(0), base_path) AS path", "base_refine AS above_refine", "base_world AS above_world", "base_volume AS above_volume",
+        "variant_get(doc, '$.root', 'variant') AS node",
+    )
+    level = written(placed(roots, f", cast(raise_error('a root has no usable bounding volume') AS {V.TYPE})"))
     levels: list[DataFrame] = []
-    while True:  # a level is a table; sets of any number and size stay spread over all tasks
-        level = written(level)
+    while not levels or not level.isEmpty():  # a level is a table; sets of any number and size stay spread over all tasks
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"a document has more than {MOST_LEVELS} levels below its root")
         levels.append(level)
         below = spark.sql(
-            f"""SELECT set_id, frame, path, node, refine, world, {step('inherited')} AS volume
-            FROM (SELECT t.set_id, t.frame, array_append(t.path, c.pos) AS path, c.value AS node, coalesce({_get('c.value', 'refine', 'string')}, t.refine) AS refine,
-                         {L.multiply('t.world', local('c.value'))} AS world, t.volume AS inherited
-                  FROM {{level}} t, LATERAL variant_explode(variant_get(t.node, '$.children', 'variant')) AS c)""",
-            level=level,
+            f"""SELECT {', '.join(f't.`{c}`' for c in same)}, array_append(t.path, c.pos) AS path, t.refine AS above_refine, t.world AS above_world, t.volume AS above_volume, c.value AS node
+            FROM {{level}} t, LATERAL variant_explode(t.children) AS c""",
+            level=level.where("children is not null"),
         )
-        if below.isEmpty():
-            break
-        if len(levels) > MOST_LEVELS:
-            raise ValueError(f"a document has more than {MOST_LEVELS} levels below its root")
-        level = below
+        # The children of a node come out of one task, however many they are; they are dealt before anything is computed.
+        level = written(placed(below.hint("rebalance", "set_id", "path"), ""))
     return reduce(DataFrame.union, levels).selectExpr(
-        "set_id", "path", "size(path) - 1 AS depth", f"{_get('node', 'geometricError', 'double')} AS geometric_error", "upper(refine) AS refine",
-        f"coalesce({_get('node', 'content.uri', 'string')}, {_get('node', 'content.url', 'string')}) AS content_uri", "volume", "world AS world_from_tile",
-        f"{L.multiply('world', L.YUP_TO_ZUP)} AS world_from_content",
+        "set_id", "path", "size(path) - 1 AS depth", "geometric_error", "upper(refine) AS refine", "content_uri", "volume", "world AS world_from_tile",
+        f"{L.multiply('world', L.YUP_TO_ZUP)} AS world_from_content", *carried,
     )
 
 
@@ -96,16 +99,13 @@ def graft(nodes: DataFrame, external: DataFrame) -> DataFrame:
     """
     fans = nodes.where("parent is not null").groupBy("set_id", F.col("parent").alias("at")).agg(F.max(F.element_at("path", -1)).alias("last"))
     hosts = external.join(nodes.withColumnRenamed("tile", "at"), ["set_id", "at"]).join(fans, ["set_id", "at"], "left")
-    docs = hosts.select("set_id", "frame", "doc", F.expr("array_append(path, coalesce(last, -1) + 1)").alias("base_path"), F.col("world_from_tile").alias("base_world"), F.col("refine").alias("base_refine"), F.col("volume").alias("base_volume"))
-    roots = hosts.select("set_id", F.expr("array_append(path, coalesce(last, -1) + 1)").alias("_root"), F.col("content_uri").alias("_host"))
-    found = flatten(docs).alias("n").join(roots.alias("r"), F.expr("n.set_id = r.set_id AND slice(n.path, 1, size(r._root)) = r._root"))
-    new = found.select("n.*", "_host").withColumn("content_uri", F.expr(f"if(content_uri is null OR _host is null, content_uri, {U.rebased('content_uri', '_host')})")).drop("_host")
+    docs = hosts.select("set_id", "frame", "doc", F.expr("array_append(path, coalesce(last, -1) + 1)").alias("base_path"), F.col("world_from_tile").alias("base_world"), F.col("refine").alias("base_refine"), F.col("volume").alias("base_volume"), F.col("content_uri").alias("_host"), F.col("at").alias("_host_tile"))
+    found = flatten(docs, ("_host", "_host_tile"))  # tiles bring their host along: to look for it by path is to try all hosts of a set
+    new = found.withColumn("content_uri", F.expr(f"if(content_uri is null OR _host is null, content_uri, {U.rebased('content_uri', '_host')})")).drop("_host")
     sizes = nodes.groupBy("set_id").agg((F.max("tile") + 1).alias("_first"))
-    new = numbered(new.join(sizes, "set_id"), F.col("_first")).drop("_first", "parent")
+    new = numbered(new.join(sizes, "set_id"), F.col("_first")).withColumn("parent", F.coalesce("parent", "_host_tile")).drop("_first", "_host_tile")
     cleared = nodes.join(external.select("set_id", F.col("at").alias("tile")).distinct().withColumn("_host", F.lit(True)), ["set_id", "tile"], "left")
-    every = cleared.withColumn("content_uri", F.expr("if(_host, null, content_uri)")).drop("_host", "parent").unionByName(new)
-    above = every.select("set_id", F.col("path").alias("_above"), F.col("tile").alias("parent"))
-    return every.withColumn("_above", F.expr("slice(path, 1, size(path) - 1)")).join(above, ["set_id", "_above"], "left").drop("_above")
+    return cleared.withColumn("content_uri", F.expr("if(_host, null, content_uri)")).drop("_host").unionByName(new)
 
 
 def above(nodes: DataFrame) -> DataFrame:

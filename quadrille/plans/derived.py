@@ -102,14 +102,19 @@ def _move(x: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(set_id, frame, doc): the tileset documents of CUSTOMER_NODES."""
+    """(set_id, frame, doc): the tileset documents of CUSTOMER_NODES.
+
+    Nodes become text where they are made, and documents are joined from texts: as structures they take several times the memory.
+    """
     sphere = lambda x, y, r: f"named_struct('sphere', transform(array({x}, {y}, 0, {r}), v -> cast(v AS double)))"
+    joined = lambda key: f"array_join(sort_array(collect_list(struct({key}, text))).text, ',') AS children"
+    parent = lambda node: f"concat(regexp_replace(to_json({node}), '[}}]$', ''), ',\"children\":[', coalesce(children, ''), ']}}')"
     leaf = f"named_struct('geometricError', 0, 'boundingVolume', {sphere('c % 64', 'c % 32', '1 + c % 4')}, 'content', named_struct('uri', concat('c/', c, '.glb')))"
-    tiles = derived(spark, sf_dir, CUSTOMER_NODES).groupBy("set_id", "nation").agg(F.array_sort(F.collect_list(F.expr(f"struct(c, {leaf} AS node)"))).alias("leaves"))
+    tiles = derived(spark, sf_dir, CUSTOMER_NODES).selectExpr("set_id", "nation", "c", f"to_json({leaf}) AS text").groupBy("set_id", "nation").agg(F.expr(joined("c")))
     nations = derived(spark, sf_dir, "SELECT CAST(n_regionkey AS BIGINT) AS set_id, n_nationkey AS nation FROM {nation}").join(tiles, ["set_id", "nation"], "left")
     branch = f"""named_struct('geometricError', 4, 'boundingVolume', if(nation % 5 = 0, null, {sphere('nation', '0', '128')}), 'refine', if(nation % 4 = 1, 'ADD', null),
-      'transform', {_move('nation * 16')}, 'content', if(nation % 3 = 0, named_struct('url', concat('n', nation, '.glb')), null), 'children', transform(coalesce(leaves, array()), l -> l.node))"""
-    sets = nations.groupBy("set_id").agg(F.array_sort(F.collect_list(F.expr(f"struct(nation, {branch} AS node)"))).alias("branches"))
-    root = f"named_struct('geometricError', 64, 'boundingVolume', {sphere('0', '0', '1024')}, 'refine', 'replace', 'transform', {_move('set_id * 4000')}, 'children', transform(branches, b -> b.node))"
-    text = F.expr(f"to_json(named_struct('asset', named_struct('version', '1.1'), 'geometricError', 64, 'root', {root}))")
-    return sets.select("set_id", F.lit("local").alias("frame"), F.parse_json(text).alias("doc"))
+      'transform', {_move('nation * 16')}, 'content', if(nation % 3 = 0, named_struct('url', concat('n', nation, '.glb')), null))"""
+    sets = nations.selectExpr("set_id", "nation", f"{parent(branch)} AS text").groupBy("set_id").agg(F.expr(joined("nation")))
+    root = f"named_struct('geometricError', 64, 'boundingVolume', {sphere('0', '0', '1024')}, 'refine', 'replace', 'transform', {_move('set_id * 4000')})"
+    text = f"""concat('{{"asset":{{"version":"1.1"}},"geometricError":64,"root":', {parent(root)}, '}}')"""
+    return sets.select("set_id", F.lit("local").alias("frame"), F.parse_json(F.expr(text)).alias("doc"))

@@ -1,14 +1,18 @@
 """Tileset documents, flattening, grafting, archives through Spark, and the streams."""
 
 import json
+import os
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quadrille.sources import archive, tileset
 from quadrille.operators import tree
+from quadrille.plans import catalogue
 
+SF = "/root/testdata/sf0.001"
 DOC = {
     "asset": {"version": "1.1"}, "geometricError": 16, "extra": 1,
     "root": {"boundingVolume": {"sphere": [0, 0, 0, 30]}, "geometricError": 16, "refine": "ADD", "transform": [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 100, 0, 0, 1],
@@ -50,6 +54,49 @@ def test_graft(spark):
     assert out[3].volume.center == [101, 0, 0]
 
 
+def test_graft_looks_for_no_host_by_path(spark, monkeypatch):
+    from quadrille import tables
+
+    plans = []
+    keep = lambda df, *partitions: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, *partitions))[1]
+    written = tables.written
+    monkeypatch.setattr(tables, "written", keep)
+    monkeypatch.setattr(tree, "written", keep)
+    nodes = tree.build(docs(spark, json.dumps(DOC), frame="local"))
+    plans.clear()
+    external = {"asset": {"version": "1.1"}, "geometricError": 1, "root": {"geometricError": 1, "boundingVolume": {"sphere": [1, 0, 0, 2]}, "children": [{"geometricError": 0, "content": {"uri": u}} for u in ("c.glb", "/d.glb")]}}
+    at = spark.range(3).selectExpr("0L AS set_id", "id AS at").join(docs(spark, json.dumps(external), frame="local"), "set_id")
+    out = tree.graft(nodes, at).orderBy("tile").collect()
+    # Tiles of all hosts of a set would be compared with all of its hosts: the square of their number.
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "slice(" in line]
+    assert any("REBALANCE" in plan for plan in plans)  # one node's children are dealt over tasks
+    # By path: the root's graft is its last child, after what hangs below its first and second.
+    assert [(r.tile, r.parent, r.depth, r.content_uri) for r in out] == [
+        (0, None, 0, None), (1, 0, 1, None), (2, 0, 1, None), (3, 1, 2, None), (4, 3, 3, "a/c.glb"), (5, 3, 3, "/d.glb"),
+        (6, 2, 2, None), (7, 6, 3, "sub/c.glb"), (8, 6, 3, "/d.glb"), (9, 0, 1, None), (10, 9, 2, "c.glb"), (11, 9, 2, "/d.glb"),
+    ]
+
+
+def test_transforms_are_read_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(tree, "written", lambda df, *partitions: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), df)[1])
+    tree.flatten(docs(spark, json.dumps(DOC), frame="local"))
+    assert plans[0].count("$.transform") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["q_graft", "q_tree_flatten"])
+def test_nations_without_customers(spark, tmp_path, name):
+    con = duckdb.connect()
+    for table, some in (("region", "true"), ("nation", "true"), ("customer", "c_nationkey IN (3, 8, 15)")):
+        con.execute(f"COPY (SELECT * FROM read_parquet('{SF}/{table}.parquet') WHERE {some}) TO '{tmp_path}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet')")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.SQL[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_frames(spark):
     assert tileset.framed(docs(spark, json.dumps(DOC)).withColumn("live", F.lit(False))).first().frame == "local"
     assert tileset.framed(docs(spark, json.dumps(DOC)).withColumn("live", F.lit(True))).first().frame == "ecef"
